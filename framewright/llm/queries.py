@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, license_scan, quality_classifier, quality_rules, sentencepiece_codec, sstable, token_counts, url_rules
+from . import decontamination, html_extract, jaccard_join, license_scan, quality_classifier, quality_rules, sentencepiece_codec, sstable, token_counts, url_rules
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,10 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.classes(table(spark, sf_dir, "documents"))
+
+
 def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.read(sstable.write(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), sstable.folder(spark)))
 
@@ -59,6 +63,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
@@ -67,9 +75,11 @@ QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_license_scan": op3_license_scan,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_token_shards": op5_token_shards,
     "op6_url_rules": op6_url_rules,
     "op7_token_counts": op7_token_counts,
+    "op8_decontamination": op8_decontamination,
     "op9_html_extract": op9_html_extract,
     "op10_quality_classifier": op10_quality_classifier,
 }

@@ -1,4 +1,6 @@
 """Every query of the library by name, with its SQL where SQL can express it."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .plans import analysis, corpus  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

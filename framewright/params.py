@@ -57,4 +57,4 @@ def field_params(distance: float) -> FieldParams:
     dampen = 1.0 if distance < 2 else max(0.0, 1 - (distance - 2) / 12)
     soft = (2 - distance) * 0.5 if distance < 2 else 0.0
     raw = np.array([0.125, 0.10 * (1 - soft), 0.09 * (1 - soft), 0.06 * (1 - soft)])
-    return FieldParams(scale * dampen, (1 - dampen) * 0.48 * scale, tuple(raw * (0.29959705784054957 / raw.sum())))
+    return FieldParams(scale * dampen, (1 - dampen) * 0.48 * scale, tuple((raw * (0.29959705784054957 / raw.sum())).tolist()))

@@ -201,8 +201,8 @@ def fit(docs: DataFrame, labels: DataFrame, p: Params | None = None) -> Model:
     return train([r.text or "" for r in rows], [r.y for r in rows], p)
 
 
-def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (doc_id) and ``score``. Only the text is read to score."""
+def score(docs: DataFrame, model: Model, keep: list[str] | None = None, name: str = "score") -> DataFrame:
+    """The columns ``keep`` (doc_id) and the score. Only the text is read to score."""
     keep = keep or ["doc_id"]
     frame = docs.select(*keep, F.col("text").alias("__text"))
     fields = ", ".join(f"`{c}` {t}" for c, t in frame.dtypes[:-1])
@@ -211,9 +211,9 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
         known: dict[str, float] = {}
         for b in batches:
             got = score_texts(texts_of(b.column(len(keep))), model, known)
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(got, pa.float64())], names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(got, pa.float64())], names=[*keep, name])
 
-    return map_arrow(frame, run, f"{fields}, score double")
+    return map_arrow(frame, run, f"{fields}, `{name}` double")
 
 
 def classify(docs: DataFrame, model: Model) -> DataFrame:
@@ -225,4 +225,4 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep_good(docs: DataFrame, model: Model) -> DataFrame:
     """The documents with predicted = 1, with all their columns."""
-    return score(docs, model, docs.columns).where(F.col("score") >= model.params.threshold).drop("score")
+    return score(docs, model, docs.columns, "__score").where(F.col("__score") >= model.params.threshold).drop("__score")

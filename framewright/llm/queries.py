@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_extract, jaccard_join, license_scan, quality_classifier, quality_rules, sentencepiece_codec, sstable, token_counts, url_rules
+from . import decontamination, html_extract, jaccard_join, license_scan, oracles, quality_classifier, quality_rules, sentencepiece_codec, sstable, token_counts, url_rules
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,4 +84,8 @@ QUERIES: dict[str, Query] = {
     "op10_quality_classifier": op10_quality_classifier,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_quality_rules": oracles.OP1,
+    "op3_license_scan": oracles.OP3,
+    "op4_jaccard_join": oracles.OP4,
+}

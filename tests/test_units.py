@@ -1,0 +1,347 @@
+"""Hand-derived values of operators, tables and functions."""
+
+import json
+import math
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from framewright import tables
+from framewright.functions import symbols, text
+from framewright.operators import huffman, strips, tokens
+from framewright.operators.interpolation import curves, interpolate
+from framewright.operators.windows import nearest_rank, scan_large, streaks
+from framewright.params import calibrate, field_params
+from framewright.plans import analysis
+from framewright.sources import media
+
+
+@pytest.mark.parametrize(
+    "d, want", [(0.5, (15667, 10, 6)), (1.0, (8813, 10, 5)), (1.5, (6294, 10, 5)), (2.0, (4751, 10, 5)), (3.0, (3167, 11, 5)), (4.0, (2375, 12, 5))]
+)
+def test_calibration(d, want):
+    c = calibrate(d)
+    assert (c.global_scale, c.quant_dc, c.raw_quant) == want
+
+
+@pytest.mark.parametrize("d", [0.0, -1.0, math.nan, math.inf])
+def test_bad_distance(d):
+    with pytest.raises(ValueError):
+        calibrate(d)
+
+
+def test_field_params():
+    assert sum(field_params(1.0).erosion) == pytest.approx(0.29959705784054957)
+    assert field_params(14.0).mul == 0
+
+
+def test_tables():
+    for n in tables.SIDES:
+        assert sorted(tables.scan_order(n)) == list(range(n * n))
+        b = tables.dct_basis(n)
+        assert np.allclose(b @ b.T, np.eye(n) / n)
+    assert tables.scan_order(8)[:8].tolist() == [0, 1, 8, 16, 9, 2, 3, 10]
+    assert tables.scan_order(16)[:4].tolist() == [0, 1, 16, 17]
+    assert len(tables.frequency_context()) == len(tables.nonzero_context()) == 64
+    assert tables.dequant(8, 1)[0] == pytest.approx(1 / 560)
+    assert tables.dequant(32, 0)[0] == pytest.approx(6.36196783e-05, rel=1e-6)
+
+
+def test_cluster_boundaries(spark):
+    got = {r.c: r.k for r in spark.range(tables.CONTEXT_COUNT).select(F.col("id").alias("c"), symbols.cluster(F.col("id")).alias("k")).collect()}
+    assert set(got.values()) == set(range(32))
+    assert got[0] == 0 and got[4 * 15] == 1 and got[7] == 4 and got[555] == 8 and got[555 + 458 * 7] == 20
+
+
+def test_hybrid_numbers(spark):
+    values = [0, 1, 15, 16, 17, 31, 32, 1000, 65535, 2**30]
+    rows = spark.createDataFrame([(v,) for v in values], "v long").select("v", symbols.hybrid(F.col("v")).alias("h")).collect()
+    for r in rows:
+        s, n, b = r.h
+        if s < 16:
+            back = s
+        else:
+            e = 4 + (s - 16) // 4
+            back = ((4 + (s - 16) % 4) << (e - 2)) + b
+            assert n == e - 2
+        assert back == r.v
+
+
+def test_names(spark):
+    rows = [("File:A b.C.jpg", "a_b_c"), ("File:---.png", "file"), ("noext", "noext"), ("File:" + "x" * 80 + ".tif", "x" * 64), ("File:Ünï.jpg", "n")]
+    got = spark.createDataFrame(rows, "t string, want string").select("want", text.sanitize_name(F.col("t")).alias("got")).collect()
+    assert all(r.want == r.got for r in got)
+
+
+def test_strip_tracking_equals_parser(spark):
+    urls = ["http://a/b?utm_source=x&k=1#f", "http://a/b?k=&z=2", "http://a", "http://a/#top", "http://a/?utm_a=1", "http://a/?x=1&utm_b=2&y=3"]
+    rows = spark.createDataFrame([(u,) for u in urls], "u string").select("u", text.strip_tracking(F.col("u")).alias("a"), text.strip_tracking_exact("u").alias("b")).collect()
+    assert all(r.a == r.b for r in rows)
+
+
+def test_text_nodes():
+    assert text.text_nodes("<p>a &amp; b<script>x()</script><!-- no --></p>\n <b>c</b>") == "a & bx() c"
+
+
+def test_first_difference(spark):
+    rows = [("abc", "abc", None), ("abc", "abd", 2), ("ab", "abc", 2), ("", "x", 0), ("x", "y", 0)]
+    got = spark.createDataFrame(rows, "a string, b string, want int").select("want", text.first_difference(F.col("a"), F.col("b")).alias("got")).collect()
+    assert all(r.want == r.got for r in got)
+
+
+def test_nearest_rank(spark):
+    df = spark.createDataFrame([("a", float(v)) for v in (1, 2, 3, 4)], "k string, v double")
+    assert nearest_rank(df, ["k"], "v", {"p50": 0.5, "p0": 0.0, "p99": 0.99}).first().asDict() == {"k": "a", "p50": 3.0, "p0": 1.0, "p99": 4.0}
+
+
+def test_scan_large_equals_scan(spark):
+    df = spark.range(1000).select((F.col("id") % 3).alias("g"), "id", (F.col("id") % 7).alias("v"))
+    got = {r.id: r.offset for r in scan_large(df, "v", ["g"], ["id"], F.floor(F.col("id") / 100)).collect()}
+    sums = [0, 0, 0]
+    for i in range(1000):
+        assert got[i] == sums[i % 3]
+        sums[i % 3] += i % 7
+
+
+def test_streaks(spark):
+    df = spark.createDataFrame([(1, i, bad) for i, bad in enumerate([True, True, False, True, True, True, True])], "u int, i int, bad boolean")
+    got = [r.streak for r in streaks(df, ["u"], ["i"], F.col("bad")).orderBy("i").collect()]
+    assert got == [1, 2, 0, 1, 2, 3, 4]
+
+
+def test_interpolation(spark):
+    pts = spark.createDataFrame([("a", 1.0, 10.0), ("a", 3.0, 30.0), ("a", 3.0, 50.0), ("b", 1.0, 5.0)], "k string, x double, y double")
+    at = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 3.0), ("a", 3.5), ("b", 1.0)], "k string, at double")
+    rows = at.join(curves(pts, ["k"], "x", "y", "knots"), "k").select("k", "at", interpolate(F.col("knots"), F.col("at")).alias("v")).collect()
+    assert {(r.k, r.at): r.v for r in rows} == {("a", 1.0): 10.0, ("a", 2.0): 25.0, ("a", 3.0): 40.0, ("a", 3.5): None, ("b", 1.0): None}
+
+
+def test_budget(spark):
+    stages = spark.createDataFrame([(110e6, 6000.0, 1500.0), (20e6, 7000.0, 40000.0), (8e6, 1500.0, 20000.0)], "bytes_moved double, gpu_us double, cpu_us double")
+    got = {r.name: (r.value, r.passed) for r in analysis.budget(stages).collect()}
+    assert got["dram_bandwidth"] == (2.07e9, True) and got["sm_time"] == (0.2175, True) and got["cpu_cores"] == (0.9225, True) and got["throughput"] == (15.0, True)
+
+
+def test_huffman_is_optimal_and_limited():
+    rng = random.Random(1)
+    for _ in range(30):
+        counts = {s: rng.randint(0, 1000) for s in range(rng.randint(1, 60))}
+        counts[0] = counts[0] or 1
+        depth = huffman.depths(counts)
+        present = [s for s, n in counts.items() if n]
+        assert sorted(depth) == sorted(present)
+        if len(present) > 1:
+            assert sum(2.0**-d for d in depth.values()) == 1
+    fib = {i: n for i, n in enumerate([1, 1, 2, 3, 5, 8, 13, 21, 34, 55, 89, 144, 233, 377, 610, 987, 1597, 2584, 4181, 6765])}
+    assert max(huffman.depths(fib).values()) <= 15
+
+
+def test_packing_round_trip():
+    rng = random.Random(2)
+    raw = {s: s % 4 for s in range(12)}
+    seq = [(s, rng.randrange(1 << raw[s])) for s in (rng.choice([0, 0, 0, 1, 2, 3, 7, 11]) for _ in range(3000))]
+    counts: dict = {}
+    for s, _ in seq:
+        counts[s] = counts.get(s, 0) + 1
+    depth = huffman.depths(counts)
+    code = huffman.canonical(depth)
+    w = huffman.BitWriter()
+    for s, bits in seq:
+        w.put(depth[s], code[s])
+        w.put(raw[s], bits)
+    assert list(huffman.decode(w.bytes(), depth, code, raw, len(seq))) == seq
+
+
+def frame(width=64, height=72, seed=3):
+    rng = np.random.default_rng(seed)
+    luma = np.where(np.arange(width)[None, :] < width // 2, 40 + np.arange(width)[None, :], rng.integers(0, 255, (height, width)))
+    return luma.astype(int), rng.integers(90, 160, (height // 2, width // 2)), rng.integers(90, 160, (height // 2, width // 2))
+
+
+def as_frames(spark, luma, cb, cr):
+    a = spark.createDataFrame([("f", y, list(map(int, r))) for y, r in enumerate(luma)], "image string, y int, luma array<int>")
+    b = spark.createDataFrame([("f", y, list(map(int, p)), list(map(int, q))) for y, (p, q) in enumerate(zip(cb, cr, strict=True))], "image string, cy int, cb array<int>, cr array<int>")
+    return a, b
+
+
+def test_strips_equal_whole_frame(spark):
+    """The halo is enough: strips give what one pass over the frame gives."""
+    luma, cb, cr = frame(64, 136)
+    h, w = luma.shape
+    rows = np.arange(h)
+    xyb = strips.to_xyb(luma.astype(float), strips.upsample(cb.astype(float), rows, 0, h, w), strips.upsample(cr.astype(float), rows, 0, h, w))
+    whole = strips.sharpen(xyb, rows, 0, h)
+    got = strips.plane_rows(*as_frames(spark, luma, cb, cr), "sharp").toPandas().sort_values(["y", "x"])
+    assert np.allclose(got["cy"].to_numpy().reshape(h, w), whole[1]) and np.allclose(got["cb"].to_numpy().reshape(h, w), whole[2])
+
+
+def test_blocks_tile_the_frame(spark):
+    luma, cb, cr = frame()
+    rows = strips.frame_blocks(*as_frames(spark, luma, cb, cr)).collect()
+    seen = np.zeros((9, 8), int)
+    for r in rows:
+        m = r.side // 8
+        assert r.by % m == 0 and r.bx % m == 0
+        seen[r.by : r.by + m, r.bx : r.bx + m] += 1
+        assert all(len(q) == r.side**2 for q in r.q) and all(len(d) == m * m for d in r.dc) and 1 <= r.qf <= 256
+    assert (seen == 1).all()
+
+
+def test_flat_plane_takes_large_blocks():
+    side, _ = strips.select(np.full((64, 64), 0.37), calibrate(1.0).uniform)
+    assert sorted(side[side > 0].tolist()) == [32] * 4
+
+
+def test_dc_of_a_constant_block():
+    for n in (16, 32):
+        corner = strips.transform(np.full((n, n), 0.5))[: n // 8, : n // 8]
+        assert np.allclose(strips.dc_of(corner), 0.5)
+
+
+def brute_tokens(rows):
+    """Token by token, from the definition."""
+    grid = {}
+    for r in rows:
+        m = r["side"] // 8
+        nz = sum(v != 0 for v in r["scanned"][m * m :])
+        for dy in range(m):
+            for dx in range(m):
+                grid[r["c"], r["by"] + dy, r["bx"] + dx] = (nz + m * m - 1) >> {1: 0, 2: 2, 4: 4}[m]
+    out = set()
+    for r in rows:
+        m, c, by, bx = r["side"] // 8, r["c"], r["by"], r["bx"]
+        l2 = {1: 0, 2: 2, 4: 4}[m]
+        left = grid.get((c, by, bx - 1)) if bx % 32 else None
+        top = grid.get((c, by - 1, bx)) if by % 32 else None
+        pred = (top + left + 1) // 2 if left is not None and top is not None else top if top is not None else left if left is not None else 32
+        ctx = tables.block_context(c, r["side"])
+        nz = sum(v != 0 for v in r["scanned"][m * m :])
+        p = min(pred, 64)
+        out.add((by, bx, c, -1, (p if p < 8 else 4 + p // 2) * 15 + ctx))
+        rest, prev = nz, 0 if nz > r["side"] ** 2 // 16 else 1
+        for k in range(m * m, r["side"] ** 2):
+            if not rest:
+                break
+            zero = (tables.nonzero_context()[(rest + m * m - 1) >> l2] + tables.frequency_context()[k >> l2]) * 2 + prev
+            out.add((by, bx, c, k, 555 + 458 * ctx + zero))
+            prev = int(r["scanned"][k] != 0)
+            rest -= prev
+    return out
+
+
+def test_tokens_of_mixed_blocks(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for by, bx, side in [(0, 0, 32), (0, 4, 16), (4, 0, 16), (0, 6, 8), (1, 6, 8), (2, 4, 8)]:
+        for c in range(3):
+            rows.append({"image": "f", "by": by, "bx": bx, "c": c, "side": side, "scanned": [int(v) for v in rng.integers(-2, 3, side * side) * (rng.random(side * side) < 0.2)]})
+    df = spark.createDataFrame(rows, "image string, by int, bx int, c int, side int, scanned array<int>")
+    got = {(r.by, r.bx, r.c, r.k, r.context) for r in tokens.tokenize(df).collect()}
+    assert got == brute_tokens(rows)
+
+
+def test_sections_decode(spark):
+    """Packed groups hold just the tokens that went in."""
+    from framewright.plans.entropy import codes, pack_groups
+
+    rng = np.random.default_rng(5)
+    rows = [("f", by, bx, 1, 8, [0] + [int(v) for v in rng.integers(-20, 21, 63) * (rng.random(63) < 0.3)]) for by in range(4) for bx in range(4)]
+    df = spark.createDataFrame(rows, "image string, by int, bx int, c int, side int, scanned array<int>")
+    coded = tokens.tokenize(df).cache()
+    table = codes(coded.groupBy("cluster", "symbol").agg(F.count(F.lit(1)).alias("n")))
+    section = pack_groups(coded, table).first()
+    lookup = {(r.cluster, r.depth, r.code): r.symbol for r in table.collect()}
+    value, at = int.from_bytes(section.data, "little"), 0
+    for t in coded.orderBy("by", "bx", "k").collect():
+        bits = size = 0
+        while (t.cluster, size, bits) not in lookup:
+            bits |= (value >> at & 1) << size
+            at, size = at + 1, size + 1
+        assert lookup[t.cluster, size, bits] == t.symbol
+        assert value >> at & ((1 << t.nbits) - 1) == t.bits
+        at += t.nbits
+    assert at == section.n_bits and len(section.data) == -(-at // 8)
+
+
+def test_nv12_round_trip(spark, tmp_path):
+    w, h = 16, 8
+    (tmp_path / "b.nv12").write_bytes(media.synthetic_nv12(w, h))
+    frames = media.read_nv12(spark, str(tmp_path), w, h)
+    luma = media.scanlines(frames, w, h).collect()
+    assert len(luma) == h and all(r.luma == [(3 * x + 5 * r.y) & 255 for x in range(w)] for r in luma)
+    chroma = media.chroma_rows(frames, w, h).collect()
+    assert all(r.cb == [(14 * x + 11 * r.cy) & 255 for x in range(w // 2)] and r.cr == [(7 * (2 * x + 1) + 11 * r.cy) & 255 for x in range(w // 2)] for r in chroma)
+    (tmp_path / "c.nv12").write_bytes(b"short")
+    with pytest.raises(Exception, match="short frame"):
+        media.read_nv12(spark, str(tmp_path), w, h).collect()
+
+
+def test_stream_equals_batch(spark, tmp_path):
+    from framewright.streaming.frames import encode_stream
+
+    w, h = 64, 64
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.nv12").write_bytes(media.synthetic_nv12(w, h))
+    encode_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp"), w, h).awaitTermination(120)
+    frames = media.read_nv12(spark, str(tmp_path / "in"), w, h)
+    want = strips.frame_blocks(media.scanlines(frames, w, h), media.chroma_rows(frames, w, h))
+    got = spark.read.parquet(str(tmp_path / "out")).drop("batch")
+    assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0
+
+
+def info(title, mime="image/jpeg", width=4000, height=3000, **more):
+    return {"title": title, "imageinfo": [{"url": "http://a/x?utm_source=1", "descriptionurl": "http://a", "width": width, "height": height, "mime": mime, "sha1": "s", **more}]}
+
+
+def test_paged_listing(spark):
+    pages = {None: (["File:A", "File:B"], "t"), "t": (["File:C"], None)}
+    details = {
+        "File:A": info("File:A", extmetadata={"Artist": {"value": "<b>Me</b>"}, "LicenseShortName": {"value": "CC0"}}),
+        "File:B": info("File:B", mime="image/gif"),
+        "File:C": info("File:C", width=8000, height=8000),
+    }
+
+    def fetch(params):
+        if params.get("list"):
+            titles, token = pages[params.get("cmcontinue")]
+            return json.dumps({"query": {"categorymembers": [{"title": t} for t in titles]}} | ({"continue": {"cmcontinue": token}} if token else {}))
+        return json.dumps({"query": {"pages": {str(i): details[t] for i, t in enumerate(params["titles"].split("|"))}}})
+
+    rows = {r.title: r for r in media.parse_imageinfo(media.collect_pages(spark, fetch, 5)).collect()}
+    assert set(rows) == {"File:A", "File:C"}
+    assert (rows["File:A"].author, rows["File:A"].license, rows["File:A"].url) == ("Me", "CC0", "http://a/x")
+    assert (rows["File:C"].author, rows["File:C"].license) == ("", "unknown")
+
+
+def test_manifest(spark, tmp_path):
+    assert media.manifest(spark, str(tmp_path / "none.json")).count() == 0
+    assets = spark.createDataFrame([("b", "b.nv12", "720p", 1280, 720, 1382400, "y"), ("a", "a.nv12", "1080p", 1920, 1080, 3110400, "x")], media.ASSET)
+    media.write_manifest(assets, str(tmp_path / "m"))
+    got = media.manifest(spark, str(tmp_path / "m"))
+    assert sorted(map(tuple, got.select(assets.columns).collect())) == sorted(map(tuple, assets.collect()))
+
+
+def test_report(spark):
+    report = "codec: own\nsize: 3840x2160\n  n: 10\n  total: 100.5\n  mean: 10.05\n  fps: 99\n  stddev: 1\n  min: 9\n  p50: 10\n  p99: 12\n  max: 12\n"
+    r = media.parse_report(spark.createDataFrame([(report,)], "value string")).first()
+    assert (r.codec, r.width, r.n, r.total, r.p99) == ("own", 3840, 10, 100.5, 12.0)
+    with pytest.raises(Exception, match="report has no"):
+        media.parse_report(spark.createDataFrame([("codec: own\n",)], "value string")).collect()
+
+
+def test_pure_red(spark):
+    from framewright.plans.codec import chroma_of, luma_of
+
+    r, g, b = (F.lit(float(v)) for v in (255, 0, 0))
+    cb, cr = chroma_of(r, g, b)
+    row = spark.range(1).select(luma_of(r, g, b).alias("y"), F.rint(cb).alias("cb"), F.least(F.rint(cr), F.lit(255.0)).alias("cr")).first()
+    assert (row.y, row.cb, row.cr) == (54, 99.0, 255.0)
+
+
+def test_missing_rows(spark):
+    a = spark.createDataFrame([(1, "x"), (2, "y")], "k int, v string")
+    assert [r.k for r in media.missing_rows(a, a.where("k = 1"), ["k", "v"]).collect()] == [2]
+
+

@@ -435,8 +435,8 @@ def links(docs: DataFrame, nodes: DataFrame, p: Params) -> DataFrame:
     if large.isEmpty():
         return components(found)
     pieces = F.ceil(F.col("total") / p.piece).cast("int")
-    draw = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(1 << 40))
-    pivot = draw * F.col("total") < F.lit(p.pivots) * F.col("n") * F.lit(1 << 40)
+    draw = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(1 << 30)) / float(1 << 30)
+    pivot = draw * F.col("total") < F.lit(float(p.pivots)) * F.col("n")
     dealt = large.withColumn("piece", F.explode(F.when(pivot, F.sequence(F.lit(0), pieces - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), pieces.cast("long")).cast("int")))))
     first = materialize(found.unionByName(_block_links(dealt.select(F.xxhash64("block", "piece").alias("group"), "node", one.alias("same"), "tokens"), p)), "links")
     return components(first.unionByName(_cross_links(large, components(first), p)))

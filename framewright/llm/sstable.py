@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -40,7 +41,7 @@ from .common import map_arrow, shared_path, texts_of
 
 MAGIC = b"FWSST001"
 _FOOTER = struct.Struct("<QQQQQQQQ8s")
-_CACHE = 300_000
+_CACHE = 400_000
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -203,19 +204,33 @@ class Reader:
         self.file.close()
 
 
+#: A pre-tokenizer's pattern and normaliser that are known here. Fixed values.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+
+
+def byte_symbols() -> list[str]:
+    """The printable character that stands for each byte in byte-level vocabularies: itself if printable in Latin-1, else one from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return [chr(b) if b in plain else chr(256 + rest.index(b)) for b in range(256)]
+
+
 class Encoder:
     """ids of whole texts as bytes of little-endian unsigned 32-bit integers, by the tokenizers library.
 
     Where the tokenizer drops white space, texts are cut there and the library sees each distinct chunk once; a text
-    that may hold a special string is given to the library whole.
+    that may hold a special string is given to the library whole. Texts of ASCII and Latin-1 letters, for which the
+    known normaliser only lowers case and the known pattern is plain, are cut into its pre-tokens and the library's
+    model sees each distinct one once.
     """
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
         import json
 
+        from tokenizers import Tokenizer
+
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.tok = Tokenizer.from_file(path)
@@ -223,26 +238,59 @@ class Encoder:
         pre, norm = json.dumps(spec.get("pre_tokenizer")), json.dumps(spec.get("normalizer"))
         self.by_chunk = '"behavior": "Removed", "invert": true' in pre and "\\\\s+" in norm
         self.special = sorted({a["content"] for a in spec.get("added_tokens") or []})
+        steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or []
+        self.plain = (
+            self.by_chunk
+            and (spec.get("normalizer") or {}).get("normalizers") == _NORMAL
+            and [x["type"] for x in steps] == ["Split", "ByteLevel"]
+            and steps[0]["pattern"] == {"Regex": _PATTERN}
+            and not steps[1]["add_prefix_space"]
+            and not steps[1]["use_regex"]
+        )
+        self.odd = re.compile("[^ -~\\t\\n\\r\x0b\x0cÀ-ÖØ-öø-ÿ]").search
+        self.cut = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+").findall
+        self.symbols = byte_symbols()
         self.known: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        whole = [not self.by_chunk or any(s in t for s in self.special) for t in texts]
-        split = [[] if w else t.replace("\n", " ").split(" ") for w, t in zip(whole, texts, strict=True)]
-        known = self.known
-        new = {c for chunks in split for c in chunks if c not in known}
+    def _pieces(self, words: list[str]) -> list[bytes]:
+        """ids of pre-tokens."""
+        model, symbols = self.tok.model.tokenize, self.symbols
+        out = []
+        for w in words:
+            raw = w if w.isascii() else "".join(symbols[b] for b in w.encode())
+            out.append(np.array([t.id for t in model(raw)], "<u4").tobytes())
+        return out
+
+    def _joined(self, split: list[list[str]], known: dict[str, bytes], encode) -> list[bytes]:
+        new = set().union(*split).difference(known)
         if len(known) + len(new) > _CACHE:
             known.clear()
-            new = {c for chunks in split for c in chunks}
+            new = set().union(*split)
         fresh = list(new)
         for lo in range(0, len(fresh), 20_000):
             part = fresh[lo : lo + 20_000]
-            known.update(zip(part, self._whole(part), strict=True))
+            known.update(zip(part, encode(part), strict=True))
         get = known.__getitem__
-        own = iter(self._whole([t for w, t in zip(whole, texts, strict=True) if w]))
-        return [next(own) if w else b"".join(map(get, chunks)) for w, chunks in zip(whole, split, strict=True)]
+        return [b"".join(map(get, parts)) for parts in split]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes] = [b""] * len(texts)
+        whole, chunks, pieces = [], [], []
+        for i, t in enumerate(texts):
+            special = any(s in t for s in self.special)
+            (whole if special or not self.by_chunk else pieces if self.plain and not self.odd(t) else chunks).append(i)
+        for at, got in (
+            (whole, self._whole([texts[i] for i in whole])),
+            (chunks, self._joined([texts[i].replace("\n", " ").split(" ") for i in chunks], self.chunks, self._whole)),
+            (pieces, self._joined([self.cut(texts[i].lower()) for i in pieces], self.known, self._pieces)),
+        ):
+            for i, ids in zip(at, got, strict=True):
+                out[i] = ids
+        return out
 
 
 @lru_cache(maxsize=2)

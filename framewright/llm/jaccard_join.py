@@ -6,9 +6,10 @@
    dealt into more than d segments; by the pigeonhole principle a linked pair has an equal segment that isn't empty, so
    the hash of each segment is a key and linked sets share a key. (Sizes fall into bands; a set also joins the next
    band if a partner may be there. A set with too few non-empty segments gives its empty ones too; pairs of which
-   both are such sets then meet in one.) Unlike single rare shingles, whole segments are not shared by texts that have
-   a passage in common. Per batch each key is combined to one row, so a hot key has one row a batch. Sets that share
-   keys, taken transitively, are a block; a link never leaves its block.
+   both are such sets then meet in one.) Unlike single shingles, whole segments are seldom shared by texts that have a
+   passage in common; keys that are common all the same are left out where other keys must be shared too (see
+   ``candidate_edges``). Copies in one task send one set of keys. The smallest node of a key is its hub; a hub with all
+   nodes of its keys is a block. Two sets that link share a key, so they are together in the block of its hub.
 3. Signature trees. In a block the sets are the leaves of a tree, ordered by size; a node holds the OR of its token
    bitmaps and its range of sizes. A dual traversal drops pairs of nodes whose sizes can't link or whose greatest
    possible overlap is too small, and pairs already connected; what is left at the leaves is compared exactly.
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize
+from .common import discard, map_arrow, materialize, release
 
 _C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 _KNOWN = 400_000
@@ -44,11 +45,12 @@ _KNOWN = 400_000
 
 @dataclass(frozen=True)
 class Params:
-    """t = num / den. piece: shingles in a piece of a block. broadcast_rows bounds the candidate ids sent to all executors."""
+    """t = num / den. common: nodes of a key from which on it is a common one. piece: shingles in a piece of a block. broadcast_rows bounds the candidate ids sent to all executors."""
 
     words: int = 4
     num: int = 85
     den: int = 100
+    common: int = 32
     piece: int = 1 << 20
     pivots: int = 16
     broadcast_rows: int = 400_000
@@ -104,7 +106,11 @@ def node_of(s: np.ndarray) -> tuple[int, int]:
 
 
 class Bands:
-    """Size bands, the number of segments of each, and the keys of a set."""
+    """Size bands, the number of segments of each, and the keys of a set. The low six bits of a key are its band.
+
+    A set with e non-empty segments of which a partner can change d shares e - d of them with any partner; its slack is
+    e - d - 1: so many keys may be left out and one is still shared. (0 for a set that gives its empty segments.)
+    """
 
     def __init__(self, num: int, den: int) -> None:
         self.num, self.den = num, den
@@ -113,15 +119,16 @@ class Bands:
         while self.edges[-1] < 1 << 40:
             self.edges.append(max(self.edges[-1] + 1, self.edges[-1] * 3 // 2, -(-self.edges[-1] * den // num) + 1))
         self.most = [2 * (e - 1) * (den - num) // (den + num) for e in self.edges[1:]]  # differences of a pair whose larger set is in the band
-        self.segments = [d + 3 for d in self.most]
+        self.segments = [d + 1 + max(2, d // 5) for d in self.most]
 
-    def keys(self, s: np.ndarray) -> np.ndarray:
+    def keys(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys, and for each the set's slack in its band."""
         n = len(s)
         if n < self.least:
-            return np.zeros(0, np.uint64)
+            return np.zeros(0, np.uint64), np.zeros(0, np.int16)
         own = int(np.searchsorted(self.edges, n, "right")) - 1
         bands = [own] + ([own + 1] if n * self.den // self.num >= self.edges[own + 1] else [])
-        out = []
+        out, spare = [], []
         with np.errstate(over="ignore"):
             mixed = mix(s * _C[0] + _C[1])
             for b in bands:
@@ -132,11 +139,15 @@ class Bands:
                 first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
                 sums = np.add.reduceat(mixed[order], first)
                 seg = at[first].astype(np.uint64)
-                if len(first) <= min(n * (self.den - self.num) // self.num, self.most[b]):
+                slack = len(first) - 1 - min(n * (self.den - self.num) // self.num, self.most[b])
+                if slack < 0:
+                    slack = 0
                     empty = np.setdiff1d(np.arange(m, dtype=np.uint64), seg)
                     seg, sums = np.concatenate([seg, empty]), np.concatenate([sums, np.zeros(len(empty), np.uint64)])
-                out.append(mix(sums + seg * _C[2] + np.uint64(b) * _C[3] + _C[4]))
-        return np.concatenate(out)
+                key = mix(sums + seg * _C[2] + np.uint64(b) * _C[3] + _C[4])
+                out.append((key & ~np.uint64(63)) | np.uint64(min(b, 63)))
+                spare.append(np.full(len(key), min(slack, 32767), np.int16))
+        return np.concatenate(out), np.concatenate(spare)
 
 
 @lru_cache(maxsize=4)
@@ -269,7 +280,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-        now = materialize(small.select("e.u", "e.v").where("u <> v").distinct(), "star")
+        before, now = now, materialize(small.select("e.u", "e.v").where("u <> v").distinct(), "star")
+        discard(before)
         state = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.hash("u", "v").cast("long"))).first()
         if state == last:
             break
@@ -301,68 +313,98 @@ def members(docs: DataFrame, p: Params) -> DataFrame:
 
 
 def candidate_edges(docs: DataFrame, p: Params) -> DataFrame:
-    """(a, b): stars that connect all nodes that share a key."""
+    """(a, b): each key's first node, its hub, with each of its others, but for common keys that can be left out.
+
+    A key of more than ``p.common`` nodes is common. A set with at most its slack of common keys in a band leaves them
+    out: with any set that it links to it shares slack + 1 keys there, so one at least that isn't common, and neither
+    leaves that out. What is left of common keys belongs to large groups of near copies.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, bands = Shingler(p.words), _bands(p.num, p.den)
         recent: set[int] = set()
+        keys: list[np.ndarray] = []
+        nodes: list[np.ndarray] = []
+        spare: list[np.ndarray] = []
+        held = 0
+
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, nodes, spare)], names=["key", "node", "slack"])
+
         for b in batches:
-            keys, nodes, held = [], [], 0
             for text in b.column(0):
                 s = shingler.set_of(text.as_py())
                 if len(s) < bands.least:
                     continue
                 node = node_of(s)[0]
-                if node in recent:
+                if node in recent:  # copies in one task count once
                     continue
                 if len(recent) > _KNOWN:
                     recent.clear()
                 recent.add(node)
-                k = bands.keys(s)
-                keys.append(k)
+                k, slack = bands.keys(s)
+                keys.append(k.view(np.int64))
                 nodes.append(np.full(len(k), node, np.int64))
+                spare.append(slack)
                 held += len(k)
-                if held > 2_000_000:
-                    yield from combined(keys, nodes)
-                    keys, nodes, held = [], [], 0
-            yield from combined(keys, nodes)
-
-    def combined(keys: list[np.ndarray], nodes: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        """One row per key, its smallest node; other nodes of a key meet that one under a key of their own."""
-        if not keys:
-            return
-        k, n = np.concatenate(keys).view(np.int64), np.concatenate(nodes)
-        order = np.lexsort((n, k))
-        k, n = k[order], n[order]
-        first = np.concatenate(([True], k[1:] != k[:-1]))
-        hub = n[np.maximum.accumulate(np.where(first, np.arange(len(k)), 0))]
-        rest = ~first & (n != hub)
-        pairs = np.unique(np.stack([hub[rest], n[rest]], 1), axis=0) if rest.any() else np.zeros((0, 2), np.int64)
-        with np.errstate(over="ignore"):
-            own = mix(pairs[:, 0].view(np.uint64).copy() * _C[5] + pairs[:, 1].copy().view(np.uint64) * _C[6] + _C[7]).view(np.int64) if len(pairs) else np.zeros(0, np.int64)
-        all_k = np.concatenate([k[first], own, own])
-        all_n = np.concatenate([n[first], pairs[:, 0], pairs[:, 1]])
-        for lo in range(0, len(all_k), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(all_k[lo : lo + 100_000]), pa.array(all_n[lo : lo + 100_000])], names=["key", "node"])
+                if held > 100_000:
+                    yield rows()
+                    for x in (keys, nodes, spare):
+                        x.clear()
+                    held = 0
+        if held:
+            yield rows()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sorted by key and node: pairs of each key's first node with its others."""
-        key, hub = None, 0
+        """Sorted by key and node. Of small groups (first node, other node, null); of common keys (key, node, its slack)."""
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int16)]  # rows of the last key so far
+        open_key = None  # a common key of which rows went out already
+
+        def out(k: np.ndarray, n: np.ndarray, spare: np.ndarray) -> Iterator[pa.RecordBatch]:
+            fresh = np.concatenate(([True], (k[1:] != k[:-1]) | (n[1:] != n[:-1])))
+            k, n, spare = k[fresh], n[fresh], spare[fresh]
+            first = np.concatenate(([True], k[1:] != k[:-1]))
+            start = np.flatnonzero(first)
+            group = np.cumsum(first) - 1
+            common = np.diff(np.append(start, len(k)))[group] > p.common
+            if open_key is not None:
+                common |= k == open_key
+            star = ~first & ~common
+            pairs = np.unique(np.stack([n[start[group[star]]], n[star]], 1), axis=0) if star.any() else np.zeros((0, 2), np.int64)
+            a, b = np.concatenate([pairs[:, 0], k[common]]), np.concatenate([pairs[:, 1], n[common]])
+            if len(a):
+                slack = np.concatenate([np.zeros(len(pairs), np.int16), spare[common]])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(slack, mask=np.arange(len(a)) < len(pairs))], names=["a", "b", "slack"])
+
         for b in batches:
-            k, n = b.column(0).to_numpy(), b.column(1).to_numpy()
-            if not len(k):
+            held = [np.concatenate([x, b.column(i).to_numpy()]) for i, x in enumerate(held)]
+            if not len(held[0]):
                 continue
-            first = np.concatenate(([key is None or k[0] != key], k[1:] != k[:-1]))
-            at = np.maximum.accumulate(np.where(first, np.arange(len(k)), -1))
-            hubs = np.where(at >= 0, n[np.maximum(at, 0)], hub)
-            rest = n != hubs
-            key, hub = int(k[-1]), int(hubs[-1])
-            if rest.any():
-                pairs = np.unique(np.stack([hubs[rest], n[rest]], 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-    rows = map_arrow(docs.select(F.col("text").cast("binary")), emit, "key long, node long")
-    return map_arrow(rows.repartition("key").sortWithinPartitions("key", "node"), meet, "a long, b long").distinct()
+            last = int(np.searchsorted(held[0], held[0][-1]))
+            if last:
+                yield from out(*(x[:last] for x in held))
+                open_key = None
+            held = [x[last:] for x in held]
+            if len(held[0]) > 100_000:  # one key fills a batch: its distinct nodes go on, or out if there are many
+                _, at = np.unique(held[1], return_index=True)
+                held = [x[at] for x in held]
+                if len(at) > p.common:
+                    open_key = int(held[0][0])
+                    yield from out(*held)
+                    held = [x[-1:] for x in held]
+        if len(held[0]):
+            yield from out(*held)
+
+    rows = map_arrow(docs.select(F.col("text").cast("binary")), emit, "key long, node long, slack short")
+    found = materialize(map_arrow(rows.repartition("key").sortWithinPartitions("key", "node"), meet, "a long, b long, slack short"), "candidates")
+    del rows
+    release(docs.sparkSession)  # the keys are by far the largest shuffle
+    common = found.where("slack is not null").select(F.col("a").alias("key"), F.col("b").alias("node"), F.col("a").bitwiseAND(F.lit(63)).alias("band"), "slack").distinct()
+    rich = common.groupBy("node", "band").agg(F.count(F.lit(1)).alias("n"), F.min("slack").alias("spare")).where("n > spare").select("node", "band")
+    kept = common.join(rich, ["node", "band"])
+    low = kept.groupBy("key").agg(F.min("node").alias("a"))
+    stars = kept.join(low, "key").where("a <> node").select("a", F.col("node").alias("b"))
+    return found.where("slack is null").select("a", "b").unionByName(stars).distinct()
 
 
 def _block_links(rows: DataFrame, p: Params) -> DataFrame:
@@ -402,32 +444,39 @@ def _block_links(rows: DataFrame, p: Params) -> DataFrame:
 
 
 def _token_sets(docs: DataFrame, wanted: DataFrame, p: Params) -> DataFrame:
-    """(block, node, n, total, tokens) for wanted (doc_id, node, block, n, total)."""
+    """(node, n, blocks, tokens) for wanted (doc_id, node, n, blocks)."""
+    kind = dict(wanted.dtypes)["blocks"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(p.words)
         for b in batches:
-            keep, tokens = [], []
-            for i, (text, node) in enumerate(zip(b.column(0), b.column(2).to_pylist(), strict=True)):
-                s = shingler.set_of(text.as_py())
-                if node_of(s)[0] == node:  # another row may have the same doc_id
-                    keep.append(i)
-                    tokens.append(s.tobytes())
-            part = b.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(tokens, pa.binary())], names=["block", "node", "n", "total", "tokens"])
+            for lo in range(0, b.num_rows, 500):
+                part = b.slice(lo, 500)
+                keep, tokens = [], []
+                for i, (text, node) in enumerate(zip(part.column(0), part.column(1).to_pylist(), strict=True)):
+                    s = shingler.set_of(text.as_py())
+                    if node_of(s)[0] == node:  # another row may have the same doc_id
+                        keep.append(i)
+                        tokens.append(s.tobytes())
+                part = part.take(pa.array(keep, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(tokens, pa.binary())], names=["node", "n", "blocks", "tokens"])
 
     if wanted.count() <= p.broadcast_rows:
         wanted = F.broadcast(wanted)
-    frame = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).join(wanted, "doc_id").select("text", "block", "node", "n", "total")
-    return map_arrow(frame, run, "block long, node long, n long, total long, tokens binary").dropDuplicates(["node"])
+    frame = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).join(wanted, "doc_id").select("text", "node", "n", "blocks")
+    return map_arrow(frame, run, f"node long, n long, blocks {kind}, tokens binary")
 
 
 def links(docs: DataFrame, nodes: DataFrame, p: Params) -> DataFrame:
     """(node, root) of every node that is linked with another. nodes: (node, doc_id, n), one row each."""
-    blocks = materialize(components(candidate_edges(docs, p)).withColumnRenamed("root", "block"), "blocks")
-    placed = blocks.join(nodes, "node")
+    edges = materialize(candidate_edges(docs, p), "edges")
+    placed = edges.select(F.col("a").alias("block"), F.col("b").alias("node")).unionByName(edges.select(F.col("a").alias("block"), F.col("a").alias("node")).distinct()).join(nodes, "node")
     totals = placed.groupBy("block").agg(F.sum("n").alias("total"))
-    sets = materialize(_token_sets(docs, materialize(placed.join(totals, "block").select("doc_id", "node", "block", "n", "total"), "wanted"), p), "sets")
+    own = placed.join(totals, "block").groupBy("node").agg(  # as many blocks as the set has keys at most
+        F.first("doc_id").alias("doc_id"), F.first("n").alias("n"), F.collect_list(F.struct("block", "total")).alias("blocks")
+    )
+    once = materialize(_token_sets(docs, materialize(own.select("doc_id", "node", "n", "blocks"), "wanted"), p), "sets")
+    sets = once.select("node", "n", "tokens", F.explode("blocks").alias("x")).select("x.block", "x.total", "node", "n", "tokens")
     one = F.lit(None).cast("long")
     small = sets.where(F.col("total") <= p.piece).select(F.xxhash64("block").alias("group"), "node", one.alias("same"), "tokens")
     found = _block_links(small, p)

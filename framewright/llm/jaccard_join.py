@@ -8,8 +8,9 @@
    band if a partner may be there. A set with too few non-empty segments gives its empty ones too; pairs of which
    both are such sets then meet in one.) Unlike single shingles, whole segments are seldom shared by texts that have a
    passage in common; keys that are common all the same are left out where other keys must be shared too (see
-   ``candidate_edges``). Copies in one task send one set of keys. The smallest node of a key is its hub; a hub with all
-   nodes of its keys is a block. Two sets that link share a key, so they are together in the block of its hub.
+   ``candidate_edges``). Copies in one task send one set of keys. One node of a key is its hub (the smallest; of a common
+   key the one with most common keys, so that few hubs serve a large group); a hub with all nodes of its keys is a
+   block. Two sets that link share a key, so they are together in the block of its hub.
 3. Signature trees. In a block the sets are the leaves of a tree, ordered by size; a node holds the OR of its token
    bitmaps and its range of sizes. A dual traversal drops pairs of nodes whose sizes can't link or whose greatest
    possible overlap is too small, and pairs already connected; what is left at the leaves is compared exactly.
@@ -313,7 +314,7 @@ def members(docs: DataFrame, p: Params) -> DataFrame:
 
 
 def candidate_edges(docs: DataFrame, p: Params) -> DataFrame:
-    """(a, b): each key's first node, its hub, with each of its others, but for common keys that can be left out.
+    """(a, b): each key's hub with each of its other nodes, but for common keys that can be left out.
 
     A key of more than ``p.common`` nodes is common. A set with at most its slack of common keys in a band leaves them
     out: with any set that it links to it shares slack + 1 keys there, so one at least that isn't common, and neither
@@ -400,10 +401,10 @@ def candidate_edges(docs: DataFrame, p: Params) -> DataFrame:
     del rows
     release(docs.sparkSession)  # the keys are by far the largest shuffle
     common = found.where("slack is not null").select(F.col("a").alias("key"), F.col("b").alias("node"), F.col("a").bitwiseAND(F.lit(63)).alias("band"), "slack").distinct()
-    rich = common.groupBy("node", "band").agg(F.count(F.lit(1)).alias("n"), F.min("slack").alias("spare")).where("n > spare").select("node", "band")
+    rich = common.groupBy("node", "band").agg(F.count(F.lit(1)).alias("n"), F.min("slack").alias("spare")).where("n > spare").select("node", "band", "n")
     kept = common.join(rich, ["node", "band"])
-    low = kept.groupBy("key").agg(F.min("node").alias("a"))
-    stars = kept.join(low, "key").where("a <> node").select("a", F.col("node").alias("b"))
+    hubs = kept.groupBy("key").agg(F.max(F.struct("n", "node"))["node"].alias("a"))  # the set with most common keys is a hub to most of its group
+    stars = kept.join(hubs, "key").where("a <> node").select("a", F.col("node").alias("b"))
     return found.where("slack is null").select("a", "b").unionByName(stars).distinct()
 
 

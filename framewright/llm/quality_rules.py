@@ -9,7 +9,8 @@ number of all hypotheses (strata x rules x candidates, Bonferroni) all bounds ho
 that passes is used; where none passes, the rule rejects nothing in that stratum.
 
 Strata with fewer than ``min_stratum`` holdout rows, unknown and null languages share the pooled stratum, calibrated
-on the whole holdout. The table of cutoffs has at most (labelled rows / min_stratum + 1) x rules rows; it is measured
+on the whole holdout. So do strata whose size can't pass any cutoff, even without a false rejection
+(P(Binomial(n, alpha) <= 0) > d), unless ``pool_weak`` is off: then no rule rejects in them. The table of cutoffs has at most (labelled rows / min_stratum + 1) x rules rows; it is measured
 before use and becomes literals of the plan under ``max_literal_rows``, else it is joined.
 
 Edge cases: a null text has no words (n_words 0, base_failed true); empty texts alike. Repeated rows are judged each
@@ -34,6 +35,7 @@ class Params:
     delta: float = 0.05
     min_stratum: int = 400
     max_literal_rows: int = 2000
+    pool_weak: bool = True
     candidates: tuple[float, ...] = (0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.8, 1.0)
 
 
@@ -192,11 +194,17 @@ def calibrate(measured: DataFrame, labels: DataFrame, p: Params | None = None) -
 
 
 def known_strata(measured: DataFrame, labels: DataFrame, p: Params) -> DataFrame:
+    """The languages that have cutoffs of their own."""
     good = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).alias("good")).where("good").select("doc_id")
-    return (
+    own = (
         measured.where(~base_failed() & F.col("lang").isNotNull()).join(good, "doc_id").groupBy(F.col("lang").alias("stratum"))
-        .agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= p.min_stratum).select("stratum")
+        .agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= p.min_stratum)
     )
+    if not p.pool_weak:
+        return own.select("stratum")
+    hypotheses = own.agg(((F.count(F.lit(1)) + 1) * len(RULES) * len(set(p.candidates))).alias("hypotheses"))  # as calibrate counts them
+    least = tail(F.col("n"), F.lit(0).cast("long"), p.alpha / len(RULES))
+    return own.join(F.broadcast(hypotheses)).where(least <= F.lit(p.delta) / F.col("hypotheses")).select("stratum")  # one row
 
 
 def apply_rules(measured: DataFrame, cutoffs: DataFrame, strata: DataFrame, p: Params | None = None) -> DataFrame:

@@ -126,6 +126,24 @@ def test_joined_cutoffs_equal_literals(spark, docs, labels):
     assert a.exceptAll(b).count() == b.exceptAll(a).count() == 0
 
 
+def test_weak_strata_are_pooled(spark):
+    """Five hundred good rows can't pass a cutoff of their own at production parameters: the pooled cutoffs hold there."""
+    rng = random.Random(12)
+    docs, labels = [], []
+    for i in range(3300):
+        bad = i % 11 == 0
+        words = [f"w{rng.randrange(500)}" for _ in range(60)]
+        docs.append((i, " ".join(w + ("***" if bad else "") for w in words), "de" if i < 550 else "en"))
+        labels.append((i, int(not bad), 0))
+    d = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    measured = quality_rules.features(d, "doc_id", "lang")
+    assert [r.stratum for r in quality_rules.known_strata(measured, known, quality_rules.Params()).collect()] == ["en"]
+    for p in (quality_rules.Params(), quality_rules.Params(max_literal_rows=0)):
+        assert {r.doc_id for r in quality_rules.judge(d, known, p).collect() if not r.kept} == set(range(0, 3300, 11))
+    assert {r.doc_id for r in quality_rules.keep_passing(d, known).collect()} == {i for i in range(3300) if i % 11}
+
+
 def test_rules_edges(spark, odd, none):
     out = quality_rules.judge(odd, odd_labels(spark)).collect()
     assert len(out) == odd.count() and all(r.base_failed for r in out if not (r.n_words or 0))

@@ -1,8 +1,9 @@
 """License scans: sentence-rule recognition (DataFrame functions only).
 
-A text is cut into sentences (at line ends, and after . ! ? ; : before white space). Normalised (lower case, only
-letters, digits and inner dots, single spaces), a sentence that is a known licence sentence becomes its identifier;
-others become nothing, and the sequence of identifiers remains. An ordered list of rules, each a sequence of
+A text is cut after . ! ? ; : before white space, and each piece into lines. Normalised (lower case, only letters,
+digits and inner dots, single spaces), a line or a run of lines that is a known licence sentence becomes its
+identifier, the longest run first (so wrapped and commented texts are read like others; a blank line ends a run); the
+rest becomes nothing, and the sequence of identifiers remains. The BSD clause may name any holder of up to 12 words. An ordered list of rules, each a sequence of
 identifiers with or without gaps between them, is matched against it: the first rule that fits at a place gives the
 licence. All rules are reported, with the first as the document's licence.
 
@@ -12,6 +13,8 @@ filtered before they are mapped, so only candidate sentences are compared.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +38,32 @@ SENTENCES = {
     "BSD_NAME": "neither the name of the copyright holder nor the names of its contributors may be used",
 }
 
+#: Further normalised sentences: the whole ones of the licences' own texts, and common one-line forms. Fixed values.
+WHOLE = {
+    "licensed under the apache license version 2.0 the license": "APACHE2",
+    "the asf licenses this file to you under the apache license version 2.0 the license": "APACHE2",
+    "this project is licensed under the apache license version 2.0": "APACHE2",
+    "this project is licensed under the apache license 2.0": "APACHE2",
+    "licensed under the apache license 2.0": "APACHE2",
+    "licensed under the apache 2.0 license": "APACHE2",
+    "you may obtain a copy of the license at http www.apache.org licenses license 2.0": "APACHE2_COPY",
+    "you may obtain a copy of the license at https www.apache.org licenses license 2.0": "APACHE2_COPY",
+    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": "APACHE2_WARRANTY",
+    "this project is licensed under the mit license": "MIT",
+    "this software is released under the mit license": "MIT",
+    "licensed under the mit license": "MIT",
+    "distributed under the mit license": "MIT",
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "MIT_GRANT",
+    "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software": "MIT_NOTICE",
+    "the above copyright notice and this permission notice including the next paragraph shall be included in all copies or substantial portions of the software": "MIT_NOTICE",
+    "licensed under the gnu general public license version 3": "GPL3",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "GPL_V3",
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "BSD_REDIST",
+    "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "BSD_NAME",
+    "this work is licensed under a creative commons attribution 4.0 international license": "BY4",
+    "this work is licensed under a creative commons attribution noncommercial 4.0 international license": "BYNC4",
+}
+
 #: (licence, identifiers in order); earlier rules win. Fixed values.
 RULES = [
     ("Apache-2.0", ["APACHE2", "APACHE2_COPY", "APACHE2_WARRANTY"]),
@@ -50,19 +79,32 @@ RULES = [
     ("CC0-1.0", ["CC0"]),
 ]
 
-_HINT = "(?i)licen|released|permission|copyright|warrant|redistribution|free software"
+_HINT = "(?i)licen|released|permission|copyright|warrant|redistribut|free[^a-z0-9]+software|either[^a-z0-9]+version"
+_KNOWN = {s: name for name, s in SENTENCES.items()} | WHOLE
+_HOLDER = "neither the name of the copyright holder nor "
+#: Known sentences between bars, the longest first; between words a space or the bar of a line end.
+_RUN = (
+    r"(?<=\|)(?:"
+    + "|".join(re.escape(s).replace(r"\ ", "[ |]") for s in sorted(_KNOWN, key=len, reverse=True)).replace(
+        re.escape("the copyright holder").replace(r"\ ", "[ |]") + "[ |]nor", r"(?:[a-z0-9.]+[ |]){1,12}?nor"
+    )
+    + r")(?=\|)"
+)
 
 
 def normalise(sentence: Column) -> Column:
     spaced = F.regexp_replace(F.lower(sentence), r"[^a-z0-9.]+", " ")
-    return F.trim(F.regexp_replace(spaced, r"\.+( |$)", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(spaced, r"\.+( |$)", " "), " +", " "))
 
 
 def identifiers(text: Column) -> Column:
     """The known sentences of a text, in order."""
-    sentences = F.filter(F.split(F.coalesce(text, F.lit("")), r"\n+|(?<=[.!?;:])\s+"), lambda s: s.rlike(_HINT))
-    table = F.create_map(*[F.lit(x) for name, s in SENTENCES.items() for x in (s, name)])
-    return F.filter(F.transform(sentences, lambda s: F.try_element_at(table, F.trim(normalise(s)))), lambda x: x.isNotNull())
+    pieces = F.filter(F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?;:])\s+"), lambda s: s.rlike(_HINT))
+    lines = lambda s: F.concat(F.lit("|"), F.array_join(F.transform(F.split(s, "\n"), normalise), "|"), F.lit("|"))
+    found = F.flatten(F.transform(pieces, lambda s: F.regexp_extract_all(lines(s), F.lit(_RUN), F.lit(0))))
+    table = F.create_map(*[F.lit(x) for s, name in _KNOWN.items() for x in (s, name)])
+    plain = lambda s: F.regexp_replace(F.translate(s, "|", " "), "^neither the name of .*? nor ", _HOLDER)
+    return F.filter(F.transform(found, lambda s: F.try_element_at(table, plain(s))), lambda x: x.isNotNull())
 
 
 def matches(sequence: Column) -> Column:

@@ -204,6 +204,73 @@ def test_licenses(spark):
     assert both.licenses == "MIT,CC-BY-NC-4.0" and both.sentence_ids == "BYNC4,MIT"
 
 
+APACHE_TEXT = """Copyright 2020 A. Author
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+MIT_TEXT = """MIT License
+
+Copyright (c) 2020 A. Author
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software."""
+BSD_TEXT = """Copyright (c) 2020, A. Author
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution."""
+BSD_NAME_TEXT = """
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+GPL_TEXT = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version."""
+
+
+def test_genuine_licenses(spark):
+    """The licences' own texts: wrapped, each paragraph on one line, as a comment, wrapped narrowly."""
+    texts = {
+        "Apache-2.0": APACHE_TEXT, "MIT": MIT_TEXT, "BSD-2-Clause": BSD_TEXT, "BSD-3-Clause": BSD_TEXT + BSD_NAME_TEXT, "GPL-3.0-or-later": GPL_TEXT,
+    }
+    lesser = GPL_TEXT.replace("GNU General", "GNU Lesser General")
+    named = (BSD_TEXT + BSD_NAME_TEXT).replace("the copyright holder", "the University of California, Berkeley,")
+    rows = []
+    for want, text in [*texts.items(), ("BSD-3-Clause", named), (None, lesser)]:
+        paragraphs = re.sub(r"(?<!\n)\n[ ]*(?!\n)", " ", text)
+        forms = [text, paragraphs, "".join(f" * {x}\n" for x in text.split("\n")), re.sub(r"(\w+ \w+) ", r"\1\n", paragraphs), text.replace("\n", "\r\n")]
+        rows += [(f, want) for f in forms]
+    df = spark.createDataFrame([(i, t, w) for i, (t, w) in enumerate(rows)], "doc_id long, text string, want string")
+    got = {r.doc_id: r for r in license_scan.scan(df).collect()}
+    assert [(i, got[i].license) for i in range(len(rows))] == [(i, w) for i, (_, w) in enumerate(rows)]
+    assert got[0].sentence_ids == "APACHE2,APACHE2_COPY,APACHE2_WARRANTY"
+
+
 def test_licenses_edges(odd, none):
     assert license_scan.scan(odd).count() == odd.count() and license_scan.scan(none).count() == 0
 

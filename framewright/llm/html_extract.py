@@ -2,8 +2,10 @@
 
 Markup is stripped into lines: a block element's start or end ends a line, inline markup and <br> do not. A line in a
 part of the page that is not the article (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles,
-comments: by element name, ARIA role, or words of class and id) stays as an empty line, so the distribution keeps its
-shape. Line lengths are summed over a window of ``window`` lines; where the sum rises to the threshold is a surge,
+comments: by element name, ARIA role, or class and id) stays as an empty line, so the distribution keeps its shape. A
+class or id names such a part if it is a part name, or is compounded of part names and of words of place and kind alone
+(cookie-notice, site-footer; not has-sidebar, related-work). It doesn't count on the element of the main part, nor
+around the first main part of a page that would else have none. Line lengths are summed over a window of ``window`` lines; where the sum rises to the threshold is a surge,
 where it falls to 0 a dive, and the text between surge and dive is kept.
 
 The threshold is one character where the page names its article (<article>, <main>, role=main): lines outside it have
@@ -43,34 +45,53 @@ _NAMES = frozenset(
     " notice notices notification notifications alert popup modal overlay newsletter subscribe subscription signup login share sharing social related"
     " recommended widget widgets pagination pager toolbar skip complementary contentinfo search dialog".split()
 )
+# Words that a compound may hold besides part names.
+_PLACES = frozenset(
+    "site page global main primary secondary top bottom left right inner outer box block bar list item items link links container wrapper wrap area"
+    " section post posts article articles entry entries story stories form button buttons icons slot unit text message".split()
+)
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"(class|id|role|aria-hidden|hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _WORDS = re.compile(r"[a-z]+|[0-9]+")
 
 
-def _other_part(attributes: str) -> tuple[bool, bool]:
-    """Whether attributes name another part of the page; whether they name the main part."""
-    main = False
+def _names_part(value: str) -> bool:
+    """Whether a class, id or role names another part of the page."""
+    for token in value.split():
+        words = [w for w in _WORDS.findall(token) if not w.isdigit()]
+        if not _NAMES.isdisjoint(words) and all(w in _NAMES or w in _PLACES for w in words):
+            return True
+    return False
+
+
+def _other_part(attributes: str) -> tuple[bool, bool, bool]:
+    """Whether attributes hide the element or give it the role of another part; whether class or id name one; whether they name the main part."""
+    main = words = other = False
     for name, value in _ATTR.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" and not value:
-            return True, False
+            return True, False, False
         if name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
-            return True, False
+            return True, False, False
         if name == "role" and value in ("main", "article"):
             main = True
-        elif name in ("class", "id", "role") and not _NAMES.isdisjoint(_WORDS.findall(value)):
-            return True, False
-    return False, main
+        elif name == "role":
+            other |= _names_part(value)
+        elif name in ("class", "id"):
+            words |= _names_part(value)
+    return other, words, main
+
 
+def lines_of(page: str, lift: bool = False) -> tuple[list[tuple[str, int, bool]], bool]:
+    """(text, length of link text, in the main part) of each line; whether the page names a main part.
 
-def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
-    """(text, length of link text, in the main part) of each line; whether the page names a main part."""
+    lift: class and id of the elements around the first main part don't count.
+    """
     out: list[tuple[str, int, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, other part, main part
+    stack: list[tuple[str, bool, bool, bool]] = []  # element, other part, main part, other part by class or id alone
     text: list[str] = []
     links = other = main = 0
-    found = False
+    found = buried = False
     link = 0
 
     def end_line() -> None:
@@ -83,7 +104,7 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
 
     def pop() -> str:
         nonlocal other, main, link
-        name, was_other, was_main = stack.pop()
+        name, was_other, was_main, _ = stack.pop()
         other -= was_other
         main -= was_main
         link -= name == "a"
@@ -123,23 +144,30 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
             close = re.compile(rf"</{name}\s*>", re.I).search(page, at)
             at = close.end() if close else size
             continue
-        is_other, is_main = _other_part(m[3]) if m[3] else (False, False)
-        if name in _MAIN:
-            is_main, is_other = not is_other, is_other
+        is_other, by_words, is_main = _other_part(m[3]) if m[3] else (False, False, False)
+        is_main |= name in _MAIN
         is_other = is_other and name not in ("html", "body") or name in _SKIP and not (name == "header" and main)
-        is_main = is_main and not is_other and not other
+        by_words = by_words and not is_other and not is_main and name not in ("html", "body")
+        is_other |= by_words
+        is_main = is_main and not is_other
+        if is_main and other and not found and all(s[3] for s in stack if s[1]):
+            buried = True
+            if lift:
+                stack[:] = [(n, False, k, False) for n, _, k, _ in stack]
+                other = 0
+        is_main = is_main and not other
         found |= is_main
         if is_other and not other:
             end_line()
-        stack.append((name, is_other, is_main))
+        stack.append((name, is_other, is_main, by_words))
         other += is_other
         main += is_main
         link += name == "a"
     end_line()
-    return out, found
+    return lines_of(page, True) if buried and not found else (out, found)
 
 
-def _close_implied(stack: list[tuple[str, bool, bool]], name: str, pop) -> None:
+def _close_implied(stack: list[tuple[str, bool, bool, bool]], name: str, pop) -> None:
     """Start tags that close an open element of the same kind."""
     pairs = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
     closes = pairs.get(name, ())

@@ -546,6 +546,20 @@ def test_html():
     assert html_extract.main_text(f"<body>{body}</body>").count("\n\n") == 4 and "Home" not in html_extract.main_text(f"<body>{body}</body>")
 
 
+def test_html_layout_classes():
+    """Layout classes don't lose the article; parts of a page go as before."""
+    text = "<p>One</p><section class='related-work'><p>Two</p></section>"
+    side = "<div class='site-footer'>Foot</div><div class=sidebar>Side</div><div class='cookie-notice'>Cookies</div>"
+    for open_, close in [
+        ("<div class='content has-sidebar'><article>", "</article></div>"), ("<article class='post comments-open'>", "</article>"), ("<article class='post related'>", "</article>"),
+        ("<div class='widget'><main>", "</main></div>"), ("<div id=sidebar><div class='menu'><div role=main class=notice>", "</div></div></div>"),
+    ]:
+        assert html_extract.main_text(f"<body>{side}{open_}{text}{close}{side}</body>") == "One\n\nTwo"
+    cards = "<div class=related><article>Card</article></div><section id=comments><article class=comment>Nice</article></section>"
+    assert html_extract.main_text(f"<body>{cards}<article>{text}{cards}</article>{cards}</body>") == "One\n\nTwo"
+    assert html_extract.main_text("<div hidden><article>Hidden</article></div><article aria-hidden=true>x</article>") == ""
+
+
 def test_html_pages(spark):
     """The pages' articles hold all blocks of the article element and nothing else."""
     pages = spark.read.parquet(f"{DATA}/pages.parquet")

@@ -13,6 +13,7 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 _PACKAGE = Path(__file__).resolve().parent.parent
 _SHIPPED: set[str] = set()
@@ -67,6 +68,19 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def join_hot(rows: DataFrame, by_key: DataFrame, key: str, count: str, total: int, parts: int = 2000) -> DataFrame:
+    """rows joined with by_key (one row per key; the column ``count`` tells how many rows hold it) without a hot task.
+
+    At most ``parts`` keys can hold over a ``parts``-th of ``total`` rows each: these are broadcast, the others are
+    shuffled. ``total`` is the number of rows, or a bound up to twice as large.
+    """
+    hot = by_key.where(F.col(count) > total // parts + 16).drop(count)
+    rest = by_key.where(F.col(count) <= total // parts + 16).drop(count)
+    marked = rows.join(F.broadcast(hot.withColumn("__hot", F.lit(True))), key, "left")
+    cold = marked.where(F.col("__hot").isNull()).select(*rows.columns).join(rest, key)
+    return marked.where("__hot").drop("__hot").unionByName(cold)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -76,7 +90,7 @@ def let(value: Column, fn: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), fn)[0]
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     ship(df.sparkSession)
     return df.mapInArrow(fn, schema)
 

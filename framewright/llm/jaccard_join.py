@@ -1,7 +1,7 @@
 """N-gram Jaccard join by signature trees: exact, distributed over candidate blocks.
 
-1. Sets. A text becomes the set of 64-bit hashes of its distinct word shingles. Equal sets are one *node* (a hash of
-   the set, checked by a second hash), so copies cost one narrow row each from here on.
+1. Sets. A text becomes the set of 64-bit hashes of its distinct word shingles. Equal sets (two hashes of the set agree)
+   are one *node*, so copies cost one narrow row each from here on.
 2. Candidate blocks. Two sets that link differ in at most d = (|x| + |y|) (1 - t) / (1 + t) shingles. Hash space is
    dealt into more than d segments; by the pigeonhole principle a linked pair has an equal segment that isn't empty, so
    the hash of each segment is a key and linked sets share a key. (Sizes fall into bands; a set also joins the next
@@ -13,23 +13,27 @@
    block. Two sets that link share a key, so they are together in the block of its hub.
 3. Signature trees. In a block the sets are the leaves of a tree, ordered by size; a node holds the OR of its token
    bitmaps and its range of sizes. A dual traversal drops pairs of nodes whose sizes can't link or whose greatest
-   possible overlap is too small, and pairs already connected; what is left at the leaves is compared exactly.
+   possible overlap is too small, and pairs already connected. This is done twice. First with the bitmaps alone (two
+   to four bits a shingle, sent to each block of a set): pairs that the bitmaps allow are connected, and the components
+   are groups. Then each set is sent once, to its group, and pairs at the leaves are compared exactly.
 4. Blocks above ``piece`` shingles are cut into pieces. First each piece joins itself together with about ``pivots``
    random sets of the block, which connects groups of near copies in linear work; then sets of different components
    (large components stay apart from each other's pieces) join across pieces. No pair of different components is left
    out, none of the same component is looked at.
 
-Components come from alternating large-star and small-star steps, with a table in the shared folder per round.
+Components come from alternating large-star and small-star steps, with a table in the shared folder per round. Keys of
+many rows (copies of one text, centres of stars) are joined apart from the others.
 
 Edge cases: null, empty and blank texts have an empty set, link with nothing and are their own component. A text with
 fewer words than a shingle has one shingle, its whole sequence. Rows that repeat a doc_id are nodes by their texts;
-component_id is the smallest doc_id of the component (null only if all its doc_ids are null). Ties don't matter: the
-result depends on the sets alone. An empty table gives an empty result. Further columns are ignored.
+component_id is the smallest doc_id of the component (null only if all its doc_ids are null). Sets whose first hashes
+clash are told apart by the second. Ties don't matter: the result depends on the sets alone. An empty table gives an
+empty result. Further columns are ignored, and kept by ``keep_one``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -38,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, map_arrow, materialize, release
+from .common import discard, join_hot, map_arrow, materialize, release
 
 _C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 _KNOWN = 400_000
@@ -156,32 +160,37 @@ def _bands(num: int, den: int) -> Bands:
     return Bands(num, den)
 
 
+def bitmap_of(s: np.ndarray) -> bytes:
+    """Token bitmap of a set: two to four bits a token, a power of two of at least 64 bits, lowest bit first."""
+    width = 64
+    while width < 2 * len(s):
+        width *= 2
+    line = np.zeros(width, np.uint8)
+    line[(s % np.uint64(width)).astype(np.int64)] = 1
+    return np.packbits(line, bitorder="little").tobytes()
+
+
 class SignatureTree:
-    """Leaves are sets in the order of their sizes; each node has the OR of their bitmaps, sizes and the greatest surplus of size over bits."""
-
-    def __init__(self, sets: list[np.ndarray], leaf: int = 4, fan: int = 4) -> None:
-        self.order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), i))
-        width = 256
-        while width < 4 * len(sets[self.order[-1]]) and width < 1 << 16:
-            width *= 2
-        self.bits: list[int] = []
-        for s in sets:
-            line = np.zeros(width, np.uint8)
-            line[(s % np.uint64(width)).astype(np.int64)] = 1
-            self.bits.append(int.from_bytes(np.packbits(line).tobytes(), "big"))
-        self.sizes = [len(s) for s in sets]
-        self.surplus = [n - b.bit_count() for n, b in zip(self.sizes, self.bits, strict=True)]
-        level = [self._node(self.order[i : i + leaf], ()) for i in range(0, len(self.order), leaf)]
+    """Leaves are sets in the order of their sizes; each node has the OR of their bitmaps, sizes and the greatest surplus of size over bits.
+
+    sizes and bits are by position; members are the positions in the tree. All bitmaps have one width.
+    """
+
+    def __init__(self, members: list[int], sizes: list[int], bits: dict[int, int], leaf: int = 4, fan: int = 4) -> None:
+        self.sizes, self.bits = sizes, bits
+        self.surplus = {i: sizes[i] - bits[i].bit_count() for i in members}
+        order = sorted(members, key=lambda i: (sizes[i], i))
+        level = [self._node(order[i : i + leaf]) for i in range(0, len(order), leaf)]
         while len(level) > 1:
             level = [self._join(level[i : i + fan]) for i in range(0, len(level), fan)]
         self.root = level[0]
 
-    def _node(self, members: list[int], children: tuple) -> dict:
+    def _node(self, members: list[int]) -> dict:
         union = 0
         for i in members:
             union |= self.bits[i]
         sizes = [self.sizes[i] for i in members]
-        return {"or": union, "min": min(sizes), "max": max(sizes), "surplus": max(self.surplus[i] for i in members), "members": members, "children": children, "one": None}
+        return {"or": union, "min": min(sizes), "max": max(sizes), "surplus": max(self.surplus[i] for i in members), "members": members, "children": (), "one": None}
 
     def _join(self, nodes: list[dict]) -> dict:
         union = 0
@@ -193,124 +202,192 @@ class SignatureTree:
         }
 
 
-def links_of(sets: list[np.ndarray], num: int, den: int, same: list[int] | None = None) -> list[tuple[int, int]]:
-    """Enough linked pairs (positions) to connect each component. same: a label per set; equal labels are connected already."""
-    if len(sets) < 2:
-        return []
-    tree = SignatureTree(sets)
-    parent = list(range(len(sets)))
+class DualJoin:
+    """Dual traversals that share one union-find. exact(i, j) decides a pair that the bitmaps allow; without it such a pair counts as found."""
 
-    def find(i: int) -> int:
+    def __init__(self, n: int, num: int, den: int, same: list[int] | None, exact: Callable[[int, int], bool] | None) -> None:
+        self.num, self.den, self.exact = num, den, exact
+        self.parent = list(range(n))
+        self.out: list[tuple[int, int]] = []
+        seen: dict[int, int] = {}
+        for i, label in enumerate(same or ()):
+            self.parent[i] = seen.setdefault(label, i)
+
+    def find(self, i: int) -> int:
+        parent = self.parent
         while parent[i] != i:
             parent[i] = parent[parent[i]]
             i = parent[i]
         return i
 
-    if same is not None:
-        seen: dict[int, int] = {}
-        for i, label in enumerate(same):
-            parent[i] = seen.setdefault(label, i)
-    out: list[tuple[int, int]] = []
-
-    def can(size_a: int, size_b: int, low_a: int, low_b: int, common: int) -> bool:
+    def can(self, max_a: int, max_b: int, min_a: int, min_b: int, common: int) -> bool:
         """Sizes and bitmaps allow for a link: overlap >= t (|x| + |y|) / (1 + t)."""
-        return common * (num + den) >= num * (low_a + low_b) and size_a * den >= low_b * num and size_b * den >= low_a * num
+        num, den = self.num, self.den
+        return common * (num + den) >= num * (min_a + min_b) and max_a * den >= min_b * num and max_b * den >= min_a * num
 
-    def one(node: dict) -> int | None:
+    def one(self, node: dict) -> int | None:
         """The component that all members are in, once there is one."""
         if node["one"] is None:
-            first = find(node["members"][0])
-            if any(find(i) != first for i in node["members"]):
+            first = self.find(node["members"][0])
+            if any(self.find(i) != first for i in node["members"]):
                 return None
             node["one"] = first
-        return find(node["one"])
+        return self.find(node["one"])
 
-    def compare(i: int, j: int) -> None:
-        if find(i) == find(j):
+    def compare(self, x: SignatureTree, i: int, y: SignatureTree, j: int) -> None:
+        if self.find(i) == self.find(j):
             return
-        a, b = (i, j) if tree.sizes[i] <= tree.sizes[j] else (j, i)
-        n_a, n_b = tree.sizes[a], tree.sizes[b]
-        common = min(tree.surplus[a], tree.surplus[b]) + (tree.bits[a] & tree.bits[b]).bit_count()
-        if not can(n_a, n_b, n_a, n_b, min(common, n_a)):
-            return
-        x, y = sets[a], sets[b]
-        at = np.minimum(np.searchsorted(y, x), n_b - 1)
-        overlap = int((y[at] == x).sum())
-        if den * overlap >= num * (n_a + n_b - overlap):
-            out.append((i, j))
-            parent[find(i)] = find(j)
-
-    stack = [(tree.root, tree.root)]
-    while stack:
-        a, b = stack.pop()
-        root = one(a)
-        if root is not None and (a is b or root == one(b)):
-            continue
-        if a is not b:
-            common = min(min(a["surplus"], b["surplus"]) + (a["or"] & b["or"]).bit_count(), a["max"], b["max"])
-            if not can(a["max"], b["max"], a["min"], b["min"], common):
+        n, m = x.sizes[i], y.sizes[j]
+        common = min(x.surplus[i], y.surplus[j]) + (x.bits[i] & y.bits[j]).bit_count()
+        if self.can(n, m, n, m, min(common, n, m)) and (self.exact is None or self.exact(i, j)):
+            self.out.append((i, j))
+            self.parent[self.find(i)] = self.find(j)
+
+    def run(self, x: SignatureTree, y: SignatureTree) -> None:
+        """All pairs of a member of x and one of y; within one tree if they are the same."""
+        stack = [(x.root, y.root)]
+        while stack:
+            a, b = stack.pop()
+            root = self.one(a)
+            if root is not None and (a is b or root == self.one(b)):
                 continue
-        if a is b:
-            kids = a["children"]
-            if kids:
-                stack += [(kids[i], kids[j]) for i in range(len(kids)) for j in range(i)]
-                stack += [(k, k) for k in kids]  # popped first
+            if a is not b:
+                common = min(min(a["surplus"], b["surplus"]) + (a["or"] & b["or"]).bit_count(), a["max"], b["max"])
+                if not self.can(a["max"], b["max"], a["min"], b["min"], common):
+                    continue
+            if a is b:
+                kids = a["children"]
+                if kids:
+                    stack += [(kids[i], kids[j]) for i in range(len(kids)) for j in range(i)]
+                    stack += [(k, k) for k in kids]  # popped first
+                else:
+                    m = a["members"]
+                    for i in range(len(m)):
+                        for j in range(i):
+                            self.compare(x, m[i], y, m[j])
+            elif a["children"] and (not b["children"] or len(a["members"]) >= len(b["members"])):
+                stack += [(k, b) for k in a["children"]]
+            elif b["children"]:
+                stack += [(a, k) for k in b["children"]]
             else:
-                m = a["members"]
-                for i in range(len(m)):
-                    for j in range(i):
-                        compare(m[i], m[j])
-        elif a["children"] and (not b["children"] or len(a["members"]) >= len(b["members"])):
-            stack += [(k, b) for k in a["children"]]
-        elif b["children"]:
-            stack += [(a, k) for k in b["children"]]
-        else:
-            for i in a["members"]:
-                for j in b["members"]:
-                    compare(i, j)
-    return out
-
-
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of the edges (a, b): root is the smallest node that can be reached."""
+                for i in a["members"]:
+                    for j in b["members"]:
+                        self.compare(x, i, y, j)
+
+
+def links_of(sets: list[np.ndarray], num: int, den: int, same: list[int] | None = None) -> list[tuple[int, int]]:
+    """Enough linked pairs (positions) to connect each component. same: a label per set; equal labels are connected already."""
+    if len(sets) < 2:
+        return []
+    sizes = [len(s) for s in sets]
+    width = 256
+    while width < 4 * max(sizes) and width < 1 << 16:
+        width *= 2
+    bits = {}
+    for i, s in enumerate(sets):
+        line = np.zeros(width, np.uint8)
+        line[(s % np.uint64(width)).astype(np.int64)] = 1
+        bits[i] = int.from_bytes(np.packbits(line).tobytes(), "big")
+
+    def exact(i: int, j: int) -> bool:
+        x, y = (sets[i], sets[j]) if sizes[i] <= sizes[j] else (sets[j], sets[i])
+        at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+        overlap = int((y[at] == x).sum())
+        return den * overlap >= num * (len(x) + len(y) - overlap)
+
+    tree = SignatureTree(list(range(len(sets))), sizes, bits)
+    join = DualJoin(len(sets), num, den, same, exact)
+    join.run(tree, tree)
+    return join.out
+
+
+def maybe_links_of(sizes: list[int], maps: list[bytes], num: int, den: int, same: list[int] | None = None) -> list[tuple[int, int]]:
+    """Like ``links_of`` by sizes and bitmaps alone: pairs that may link, enough to connect each component of all pairs that may.
+
+    Sets of one width of bitmaps are a tree. Of a wider one, the sets that can link with a narrower are folded to its width.
+    """
+    if len(sizes) < 2:
+        return []
+    join = DualJoin(len(sizes), num, den, same, None)
+    by_width: dict[int, list[int]] = {}
+    for i, m in enumerate(maps):
+        by_width.setdefault(8 * len(m), []).append(i)
+    widths = sorted(by_width)
+    for k, width in enumerate(widths):
+        own = by_width[width]
+        tree = SignatureTree(own, sizes, {i: int.from_bytes(maps[i], "little") for i in own})
+        join.run(tree, tree)
+        largest = max(sizes[i] for i in own)
+        for wider in widths[k + 1 :]:
+            near = [i for i in by_width[wider] if sizes[i] * num <= largest * den]
+            if near:
+                join.run(tree, SignatureTree(near, sizes, {i: fold(int.from_bytes(maps[i], "little"), wider, width) for i in near}))
+    return join.out
+
+
+def fold(bits: int, width: int, to: int) -> int:
+    """A bitmap at a smaller width: positions modulo that width."""
+    while width > to:
+        width //= 2
+        bits = (bits >> width) | (bits & ((1 << width) - 1))
+    return bits
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) for every node of the edges (a, b): root is the smallest node that can be reached.
+
+    Alternating large-star and small-star steps, which end after O(log^2) rounds; nodes of many neighbours are joined
+    apart from the others (see ``join_hot``).
+    """
     now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "star")
-    last = None
-    for _ in range(rounds):
+    last, n = None, now.count()
+    while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("rows"))
+        large = join_hot(both.where("v > u"), low, "u", "rows", n).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("rows"))
+        small = join_hot(large, low, "u", "rows", n).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
         before, now = now, materialize(small.select("e.u", "e.v").where("u <> v").distinct(), "star")
         discard(before)
         state = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.hash("u", "v").cast("long"))).first()
         if state == last:
             break
-        last = state
-    else:
-        raise RuntimeError("components did not settle")
+        last, n = state, state[0]
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
 def members(docs: DataFrame, p: Params) -> DataFrame:
-    """(doc_id, n_shingles, node, check) of each row; node is null for an empty set."""
+    """(doc_id, n_shingles, node, check, bits) of each row; node, check and bits are null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(p.words)
-        for b in batches:
-            sizes, nodes, checks = [], [], []
-            for text in b.column(1):
-                s = shingler.set_of(text.as_py())
-                node, check = node_of(s) if len(s) else (None, None)
-                sizes.append(len(s))
-                nodes.append(node)
-                checks.append(check)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(checks, pa.int64())], names=["doc_id", "n_shingles", "node", "check"]
-            )
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 2000):
+                b = whole.slice(lo, 2000)
+                sets = [shingler.set_of(text.as_py()) for text in b.column(1)]
+                hashes = [node_of(s) if len(s) else (None, None) for s in sets]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        b.column(0), pa.array(map(len, sets), pa.int64()), pa.array([h[0] for h in hashes], pa.int64()), pa.array([h[1] for h in hashes], pa.int64()),
+                        pa.array([bitmap_of(s) if len(s) else None for s in sets], pa.binary()),
+                    ],
+                    names=["doc_id", "n_shingles", "node", "check", "bits"],
+                )
 
     frame = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
-    return map_arrow(frame, run, "doc_id long, n_shingles long, node long, check long")
+    return map_arrow(frame, run, "doc_id long, n_shingles long, node long, check long, bits binary")
+
+
+def nodes_of(rows: DataFrame) -> DataFrame:
+    """(node, check, vid, doc_id, n, copies, bits): one row per distinct set. vid is its number from here on: node, or a further hash where sets clash in node."""
+    nodes = materialize(
+        rows.where("node is not null").groupBy("node", "check").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies"), F.first("bits").alias("bits")),
+        "nodes",
+    )
+    clash = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("k"), F.min("check").alias("own")).where("k > 1").select("node", "own")
+    if clash.isEmpty():
+        return nodes.withColumn("vid", F.col("node"))
+    return nodes.join(clash, "node", "left").withColumn("vid", F.when(F.col("own").isNull() | (F.col("own") == F.col("check")), F.col("node")).otherwise(F.xxhash64("node", "check"))).drop("own")
 
 
 def candidate_edges(docs: DataFrame, p: Params) -> DataFrame:
@@ -323,7 +400,7 @@ def candidate_edges(docs: DataFrame, p: Params) -> DataFrame:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, bands = Shingler(p.words), _bands(p.num, p.den)
-        recent: set[int] = set()
+        recent: set[tuple[int, int]] = set()
         keys: list[np.ndarray] = []
         nodes: list[np.ndarray] = []
         spare: list[np.ndarray] = []
@@ -337,12 +414,13 @@ def candidate_edges(docs: DataFrame, p: Params) -> DataFrame:
                 s = shingler.set_of(text.as_py())
                 if len(s) < bands.least:
                     continue
-                node = node_of(s)[0]
-                if node in recent:  # copies in one task count once
+                both = node_of(s)
+                if both in recent:  # copies in one task count once
                     continue
                 if len(recent) > _KNOWN:
                     recent.clear()
-                recent.add(node)
+                recent.add(both)
+                node = both[0]
                 k, slack = bands.keys(s)
                 keys.append(k.view(np.int64))
                 nodes.append(np.full(len(k), node, np.int64))
@@ -408,27 +486,37 @@ def candidate_edges(docs: DataFrame, p: Params) -> DataFrame:
     return found.where("slack is null").select("a", "b").unionByName(stars).distinct()
 
 
-def _block_links(rows: DataFrame, p: Params) -> DataFrame:
-    """(a, b) of linked nodes from rows (group, node, same, tokens): one signature tree per group."""
+def _group_links(rows: DataFrame, p: Params) -> DataFrame:
+    """(a, b) of linked sets from rows (group, vid, n, same, tokens): one signature tree per group.
+
+    tokens is a set, or its bitmap if the rows have no sets: then pairs that may link are found.
+    """
+    sets_given = "tokens" in rows.columns
+    what = "tokens" if sets_given else "bits"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, nodes, same, sets = None, [], [], []
+        group, vids, sizes, same, held = None, [], [], [], []
         found: list[tuple[int, int]] = []
 
         def finish() -> None:
-            labels = None if all(x is None for x in same) else [n if x is None else x for n, x in zip(nodes, same, strict=True)]
-            found.extend((nodes[i], nodes[j]) for i, j in links_of(sets, p.num, p.den, labels))
+            labels = None if all(x is None for x in same) else [v if x is None else x for v, x in zip(vids, same, strict=True)]
+            if sets_given:
+                got = links_of([np.frombuffer(x, np.uint64) for x in held], p.num, p.den, labels)
+            else:
+                got = maybe_links_of(sizes, held, p.num, p.den, labels)
+            found.extend((vids[i], vids[j]) for i, j in got)
 
         for b in batches:
-            for g, n, s, tokens in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
+            for g, v, n, s, x in zip(*(b.column(i).to_pylist() for i in range(4)), b.column(4), strict=True):
                 if g != group:
                     finish()
-                    group, nodes, same, sets = g, [], [], []
-                if nodes and nodes[-1] == n:
+                    group, vids, sizes, same, held = g, [], [], [], []
+                if vids and vids[-1] == v:
                     continue
-                nodes.append(n)
+                vids.append(v)
+                sizes.append(n)
                 same.append(s)
-                sets.append(np.frombuffer(tokens.as_py(), np.uint64))
+                held.append(x.as_py())
             if found:
                 yield pairs(found)
                 found.clear()
@@ -440,13 +528,48 @@ def _block_links(rows: DataFrame, p: Params) -> DataFrame:
         a, b = zip(*found, strict=True)
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    placed = rows.select("group", "node", "same", "tokens").repartition("group").sortWithinPartitions("group", "node")
+    placed = rows.select("group", "vid", "n", "same", what).repartition("group").sortWithinPartitions("group", "vid")
     return map_arrow(placed, run, "a long, b long")
 
 
+def _joined(rows: DataFrame, piece: int, p: Params, cut: bool) -> DataFrame:
+    """(a, b) that connect all linked sets of one block. rows: (block, total, vid, n, tokens or bits). cut: some block exceeds a piece (rows are then read more than once)."""
+    what = "tokens" if "tokens" in rows.columns else "bits"
+    none = F.lit(None).cast("long")
+    small = rows.where(F.col("total") <= piece) if cut else rows
+    found = _group_links(small.select(F.xxhash64("block").alias("group"), "vid", "n", none.alias("same"), what), p)
+    if not cut:
+        return found
+    large = rows.where(F.col("total") > piece)
+    pieces = F.ceil(F.col("total") / piece).cast("int")
+    draw = F.pmod(F.xxhash64("vid", F.lit(1)), F.lit(1 << 30)) / float(1 << 30)
+    pivot = draw * F.col("total") < F.lit(float(p.pivots)) * F.col("n")
+    dealt = large.withColumn("piece", F.explode(F.when(pivot, F.sequence(F.lit(0), pieces - 1)).otherwise(F.array(F.pmod(F.xxhash64("vid"), pieces.cast("long")).cast("int")))))
+    first = _group_links(dealt.select(F.xxhash64("block", "piece").alias("group"), "vid", "n", none.alias("same"), what), p)
+    first = materialize(found.unionByName(first), "links")
+    return first.unionByName(_cross_links(large, components(first), piece, p))
+
+
+def _cross_links(large: DataFrame, known: DataFrame, piece: int, p: Params) -> DataFrame:
+    """Links between different components of one block that is in pieces."""
+    what = "tokens" if "tokens" in large.columns else "bits"
+    rows = large.join(known.withColumnRenamed("node", "vid"), "vid", "left").withColumn("root", F.coalesce("root", "vid"))
+    held = rows.groupBy("block", "root").agg(F.sum("n").alias("held"))
+    others = held.groupBy("block").agg(F.count("*").alias("roots"), F.sum(F.when(F.col("held") <= piece, F.col("held")).otherwise(0)).alias("rest")).where("roots > 1")
+    rows = rows.join(held, ["block", "root"]).join(others, "block")
+    big = F.col("held") > piece
+    owner = F.when(big, F.col("root"))  # null: a piece of small components
+    count = F.when(big, F.ceil(F.col("held") / piece)).otherwise(F.greatest(F.ceil(F.col("rest") / piece), F.lit(1)))
+    part = F.pmod(F.when(big, F.xxhash64("vid")).otherwise(F.xxhash64("root")), count.cast("long"))
+    rows = materialize(rows.select("block", "root", "vid", "n", what, owner.alias("owner"), F.struct(owner.alias("owner"), part.alias("part")).alias("piece")), "pieces")
+    partners = rows.select("block", F.col("piece").alias("partner")).distinct()
+    crossed = rows.join(partners, "block").where(F.col("owner").isNull() | F.col("partner.owner").isNull() | (F.col("owner") != F.col("partner.owner")))
+    pair = F.xxhash64("block", F.least("piece", "partner"), F.greatest("piece", "partner"))
+    return _group_links(crossed.select(pair.alias("group"), "vid", "n", F.col("root").alias("same"), what), p)
+
+
 def _token_sets(docs: DataFrame, wanted: DataFrame, p: Params) -> DataFrame:
-    """(node, n, blocks, tokens) for wanted (doc_id, node, n, blocks)."""
-    kind = dict(wanted.dtypes)["blocks"]
+    """(vid, n, block, total, tokens) for wanted (doc_id, node, check, vid, n, block, total)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(p.words)
@@ -454,83 +577,125 @@ def _token_sets(docs: DataFrame, wanted: DataFrame, p: Params) -> DataFrame:
             for lo in range(0, b.num_rows, 500):
                 part = b.slice(lo, 500)
                 keep, tokens = [], []
-                for i, (text, node) in enumerate(zip(part.column(0), part.column(1).to_pylist(), strict=True)):
+                for i, (text, *both) in enumerate(zip(part.column(0), part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)):
                     s = shingler.set_of(text.as_py())
-                    if node_of(s)[0] == node:  # another row may have the same doc_id
+                    if node_of(s) == tuple(both):  # another row may have the same doc_id
                         keep.append(i)
                         tokens.append(s.tobytes())
                 part = part.take(pa.array(keep, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(tokens, pa.binary())], names=["node", "n", "blocks", "tokens"])
+                yield pa.RecordBatch.from_arrays([*part.columns[3:], pa.array(tokens, pa.binary())], names=["vid", "n", "block", "total", "tokens"])
 
-    if wanted.count() <= p.broadcast_rows:
-        wanted = F.broadcast(wanted)
-    frame = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).join(wanted, "doc_id").select("text", "node", "n", "blocks")
-    return map_arrow(frame, run, f"node long, n long, blocks {kind}, tokens binary")
+    def sets(texts: DataFrame) -> DataFrame:
+        return map_arrow(texts.select("text", "node", "check", "vid", "n", "block", "total"), run, "vid long, n long, block long, total long, tokens binary")
 
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
+    few = wanted.count() <= p.broadcast_rows  # of 56 bytes each
+    numbered = wanted.where("doc_id is not null")
+    out = sets(texts.join(F.broadcast(numbered) if few else numbered, "doc_id"))
+    bare = wanted.where("doc_id is null")
+    if bare.isEmpty():
+        return out
 
-def links(docs: DataFrame, nodes: DataFrame, p: Params) -> DataFrame:
-    """(node, root) of every node that is linked with another. nodes: (node, doc_id, n), one row each."""
-    edges = materialize(candidate_edges(docs, p), "edges")
-    placed = edges.select(F.col("a").alias("block"), F.col("b").alias("node")).unionByName(edges.select(F.col("a").alias("block"), F.col("a").alias("node")).distinct()).join(nodes, "node")
-    totals = placed.groupBy("block").agg(F.sum("n").alias("total"))
-    own = placed.join(totals, "block").groupBy("node").agg(  # as many blocks as the set has keys at most
-        F.first("doc_id").alias("doc_id"), F.first("n").alias("n"), F.collect_list(F.struct("block", "total")).alias("blocks")
-    )
-    once = materialize(_token_sets(docs, materialize(own.select("doc_id", "node", "n", "blocks"), "wanted"), p), "sets")
-    sets = once.select("node", "n", "tokens", F.explode("blocks").alias("x")).select("x.block", "x.total", "node", "n", "tokens")
-    one = F.lit(None).cast("long")
-    small = sets.where(F.col("total") <= p.piece).select(F.xxhash64("block").alias("group"), "node", one.alias("same"), "tokens")
-    found = _block_links(small, p)
-    large = sets.where(F.col("total") > p.piece)
-    if large.isEmpty():
-        return components(found)
-    pieces = F.ceil(F.col("total") / p.piece).cast("int")
-    draw = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(1 << 30)) / float(1 << 30)
-    pivot = draw * F.col("total") < F.lit(float(p.pivots)) * F.col("n")
-    dealt = large.withColumn("piece", F.explode(F.when(pivot, F.sequence(F.lit(0), pieces - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), pieces.cast("long")).cast("int")))))
-    first = materialize(found.unionByName(_block_links(dealt.select(F.xxhash64("block", "piece").alias("group"), "node", one.alias("same"), "tokens"), p)), "links")
-    return components(first.unionByName(_cross_links(large, components(first), p)))
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(p.words)
+        for b in batches:
+            both = [node_of(shingler.set_of(x.as_py())) for x in b.column(0)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([h[k] for h in both], pa.int64()) for k in (0, 1))], names=["text", "node", "check"])
 
+    unnamed = map_arrow(texts.where("doc_id is null").select("text"), hashed, "text binary, node long, check long")  # found by their sets
+    return out.unionByName(sets(unnamed.join(F.broadcast(bare) if few else bare, ["node", "check"]).dropDuplicates(["vid"])))
 
-def _cross_links(large: DataFrame, known: DataFrame, p: Params) -> DataFrame:
-    """Links between different components of one block that is in pieces."""
-    rows = large.join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    held = rows.groupBy("block", "root").agg(F.sum("n").alias("held"))
-    others = held.groupBy("block").agg(F.count("*").alias("roots"), F.sum(F.when(F.col("held") <= p.piece, F.col("held")).otherwise(0)).alias("rest")).where("roots > 1")
-    rows = rows.join(held, ["block", "root"]).join(others, "block")
-    big = F.col("held") > p.piece
-    owner = F.when(big, F.col("root"))  # null: a piece of small components
-    count = F.when(big, F.ceil(F.col("held") / p.piece)).otherwise(F.greatest(F.ceil(F.col("rest") / p.piece), F.lit(1)))
-    part = F.pmod(F.when(big, F.xxhash64("node")).otherwise(F.xxhash64("root")), count.cast("long"))
-    rows = materialize(rows.select("block", "root", "node", "tokens", owner.alias("owner"), F.struct(owner.alias("owner"), part.alias("part")).alias("piece")), "pieces")
-    all_pieces = rows.groupBy("block").agg(F.array_sort(F.collect_set("piece")).alias("pieces"))  # as many as the block has pieces
-    crossed = rows.join(all_pieces, "block").select("block", "root", "node", "tokens", "owner", "piece", F.explode("pieces").alias("partner"))
-    crossed = crossed.where(F.col("owner").isNull() | F.col("partner.owner").isNull() | (F.col("owner") != F.col("partner.owner")))
-    pair = F.xxhash64("block", F.least("piece", "partner"), F.greatest("piece", "partner"))
-    return _block_links(crossed.select(pair.alias("group"), "node", F.col("root").alias("same"), "tokens"), p)
+
+def links(docs: DataFrame, nodes: DataFrame, p: Params) -> DataFrame:
+    """(vid, root) of every set that is linked with another. nodes: see ``nodes_of``.
+
+    Bitmaps go to the blocks of all hubs of a set; a set itself goes to one group alone, the component of the pairs that
+    the bitmaps allow: two sets that link are such a pair in the block of a hub they share.
+    """
+    edges = materialize(candidate_edges(docs, p), "edges")
+    hubs = edges.select(F.col("a").alias("block")).distinct()
+    placed = edges.select(F.col("a").alias("block"), F.col("b").alias("node")).unionByName(hubs.withColumn("node", F.col("block")))
+    placed = materialize(placed.join(nodes.select("node", "vid", "n", "bits"), "node").select("block", "vid", "n", "bits"), "placed")
+    discard(edges)
+    placed, cut = _with_totals(placed, 8 * p.piece, p)  # a bitmap takes a sixteenth of its set at most
+    maybe = materialize(_joined(placed, 8 * p.piece, p, cut), "maybe")
+    discard(placed)
+    group = materialize(components(maybe), "groups").select(F.col("node").alias("vid"), F.col("root").alias("block"))
+    wanted = group.join(nodes.select("vid", "node", "check", "doc_id", "n"), "vid")
+    wanted, cut = _with_totals(materialize(wanted, "wanted"), p.piece, p)
+    sets = _token_sets(docs, wanted, p)
+    if cut:
+        sets = materialize(sets, "sets")
+    return components(_joined(sets, p.piece, p, cut)).withColumnRenamed("node", "vid")
+
+
+def _with_totals(rows: DataFrame, piece: int, p: Params) -> tuple[DataFrame, bool]:
+    """rows with the sum of n of their block as total where that is above piece, else 0; and whether any is."""
+    totals = materialize(rows.groupBy("block").agg(F.sum("n").alias("total")).where(F.col("total") > piece), "totals")
+    n = totals.count()
+    if not n:
+        return rows.withColumn("total", F.lit(0).cast("long")), False
+    return rows.join(F.broadcast(totals) if n <= p.broadcast_rows else totals, "block", "left").withColumn("total", F.coalesce("total", F.lit(0).cast("long"))), True
+
+
+def _classed(docs: DataFrame, p: Params) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, n_shingles, node, check), and (node, check, copies, root) of all sets."""
+    rows = materialize(members(docs, p), "members")
+    nodes = nodes_of(rows)
+    linked = materialize(links(docs, nodes, p), "linked")
+    found = nodes.drop("bits").join(linked, "vid", "left").select("node", "check", "doc_id", "copies", F.coalesce("root", "vid").alias("root"))
+    return rows.drop("bits"), materialize(found, "classes")
 
 
 def classes(docs: DataFrame, p: Params | None = None) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id."""
-    p = p or Params()
-    rows = materialize(members(docs, p), "members")
-    nodes = rows.where("node is not null").groupBy("node").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), (F.min("check") != F.max("check")).alias("clash")
-    )
-    nodes = materialize(nodes, "nodes")
-    if not nodes.where("clash").isEmpty():
-        raise RuntimeError("two sets share a 64-bit hash")
-    linked = links(docs, nodes.select("node", "doc_id", "n"), p)
-    lowest = linked.join(nodes, "node").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    by_node = nodes.join(linked.join(lowest, "root").select("node", "component_id"), "node", "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return rows.join(by_node, "node", "left").select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    rows, found = _classed(docs, p or Params())
+    lowest = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    by_set = found.join(lowest, "root").select(F.struct("node", "check").alias("set"), "copies", "component_id")
+    full = rows.where("node is not null").select("doc_id", "n_shingles", F.struct("node", "check").alias("set"))
+    named = join_hot(full, by_set, "set", "copies", rows.count()).select("doc_id", "n_shingles", "component_id")
+    return named.unionByName(rows.where("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def keep_one(docs: DataFrame, p: Params | None = None) -> DataFrame:
-    """One document of each class, the one with the smallest doc_id, with all its columns."""
+    """One document of each class, the one with the smallest doc_id (null last), with all its columns.
+
+    Documents whose doc_id is theirs alone go by an anti-join with the doc_ids of those that are not the first of their
+    class. Rows without doc_id or that share one are found by their sets as well; of rows alike in both, one stays.
+    """
     p = p or Params()
-    found = classes(docs, p)
-    gone = materialize(found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    if gone.count() <= p.broadcast_rows:
-        gone = F.broadcast(gone)
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    rows, found = _classed(docs, p)
+    place = F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "node", "check")
+    first = found.groupBy("root").agg(F.min(place).alias("first"))
+    winners = found.join(first, "root").select(F.struct("node", "check").alias("set"), "copies", "first")
+    full = rows.where("node is not null").select("doc_id", "node", "check", F.struct("node", "check").alias("set"))
+    judged = join_hot(full, winners, "set", "copies", rows.count()).select("doc_id", "set", "first", (place == F.col("first")).alias("stays"))
+    shared = materialize(rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).where("doc_id is null or k > 1").select("doc_id"), "shared")
+    gone = materialize(judged.where("not stays and doc_id is not null").select("doc_id").unionByName(shared.where("doc_id is not null")).distinct().select(F.col("doc_id").alias("__gone")), "gone")
+    alone = docs.where(F.col("doc_id").isNotNull()).join(F.broadcast(gone) if gone.count() <= p.broadcast_rows else gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    if shared.isEmpty():
+        return alone
+    return alone.unionByName(_keep_one_shared(docs, judged, shared, p))
+
+
+def _keep_one_shared(docs: DataFrame, judged: DataFrame, shared: DataFrame, p: Params) -> DataFrame:
+    """Of the rows whose doc_id is null or repeated: those with an empty set, and one of each that is first of its class."""
+    names = docs.columns
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    packed = packed.join(shared.select(F.col("doc_id").alias("__shared")), F.col("doc_id").eqNullSafe(F.col("__shared")), "left_semi")
+    kind = packed.schema["row"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(p.words)
+        for b in batches:
+            for lo in range(0, b.num_rows, 500):
+                part = b.slice(lo, 500)
+                sets = [shingler.set_of(x.as_py()) for x in part.column(2)]
+                both = [node_of(s) if len(s) else (None, None) for s in sets]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array([h[k] for h in both], pa.int64()) for k in (0, 1))], names=["row", "doc_id", "node", "check"])
+
+    tagged = map_arrow(packed, run, f"row {kind}, doc_id long, node long, check long")
+    stays = judged.where("stays").select("doc_id", "set").distinct().select(F.col("doc_id").alias("id"), "set.node", "set.check")
+    full = tagged.where("node is not null").join(stays, ["node", "check"]).where(F.col("doc_id").eqNullSafe(F.col("id")))
+    one = full.groupBy("doc_id", "node", "check").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return tagged.where("node is null").select("row").unionByName(one.select("row")).select(*[F.col("row")[c].alias(c) for c in names])

@@ -62,7 +62,7 @@ def density_context(left: Column, k: Column, log2_covered: Column, prev: Column,
     a = F.call_function("shiftright", left + covered - 1, log2_covered)
     b = F.call_function("shiftright", k, log2_covered)
     lit = lambda values: F.array(*map(F.lit, values))
-    within = (F.get(lit(tables.nonzero_context()), a) + F.get(lit(tables.frequency_context()), b)) * 2 + prev
+    within = (F.get(lit(tables.NONZERO_CONTEXTS), a) + F.get(lit(tables.FREQUENCY_CONTEXTS), b)) * 2 + prev
     return (tables.BLOCK_CONTEXT_COUNT * tables.NONZERO_BUCKETS + tables.ZERO_DENSITY_COUNT * block_context + within).cast("int")
 
 

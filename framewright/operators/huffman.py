@@ -22,6 +22,16 @@ class BitWriter:
             self.value >>= 8 * whole
             self.size -= 8 * whole
 
+    @property
+    def bits(self) -> int:
+        return 8 * len(self.done) + self.size
+
+    def append(self, other: BitWriter) -> None:
+        """The bits of another writer, which need not end at a byte."""
+        for b in other.done:
+            self.put(8, b)
+        self.put(other.size, other.value)
+
     def align(self) -> None:
         self.size = -(-self.size // 8) * 8
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text
-from ..operators.windows import dedupe_names, streaks
+from ..operators.windows import CHUNK, dedupe_names, streaks
 from ..registry import query, table
 
 #: Limits of accepted images, inclusive; resolutions. Fixed values.
@@ -57,15 +57,15 @@ def catalog_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH names AS (SELECT page_id, regexp_replace(substr(trim(regexp_replace(lower(regexp_replace(regexp_replace(url, '^File:', ''), '\\.[^.]*$', '')), '[^a-z0-9]+', '_', 'g'), '_'), 1, 20), '_+$', '') AS n FROM pages),
+    """WITH names AS (SELECT page_id, regexp_replace(substr(trim(regexp_replace(lower(regexp_replace(regexp_replace(regexp_extract(url, '://([^/?#]*)', 1), '^File:', ''), '\\.[^.]*$', '')), '[^a-z0-9]+', '_', 'g'), '_'), 1, 64), '_+$', '') AS n FROM pages),
     based AS (SELECT page_id, CASE WHEN n = '' THEN 'file' ELSE n END AS base FROM names)
     SELECT page_id, base, CASE WHEN r = 1 THEN base ELSE concat(base, '_', r) END AS name FROM (SELECT *, row_number() OVER (PARTITION BY base ORDER BY page_id) AS r FROM based)"""
 )
 def sanitize_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names of pages, cut short here so that many collide, numbered in page order."""
-    short = F.regexp_replace(F.substring(text.sanitize_name(F.col("url")), 1, 20), "_+$", "")
-    pages = table(spark, sf_dir, "pages").select("page_id", short.alias("base"))
-    return pages.select("page_id", "base", dedupe_names("base", "page_id").alias("name"))
+    """Names of the pages' hosts, of which many are equal, numbered in page order."""
+    host = F.regexp_extract("url", "://([^/?#]*)", 1)
+    pages = table(spark, sf_dir, "pages").select("page_id", text.sanitize_name(host).alias("base"))
+    return dedupe_names(pages, "base", ["page_id"], F.floor(F.col("page_id") / CHUNK)).select("page_id", "base", "name")
 
 
 @query(
@@ -77,18 +77,19 @@ def sanitize_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored names of accepted files and of their frames."""
-    rows = candidates(catalogue(spark, sf_dir)).select("id", "title", "mime", text.sanitize_name(F.col("title")).alias("base"), F.struct("title", "id").alias("k"))
-    name = dedupe_names("base", "k")
-    return rows.withColumn("name", name).select(
+    rows = candidates(catalogue(spark, sf_dir)).select("id", "title", "mime", text.sanitize_name(F.col("title")).alias("base"))
+    return dedupe_names(rows, "base", ["title", "id"], F.struct("title", F.floor(F.col("id") / CHUNK))).select(
         "id", "title", F.concat_ws(".", "name", text.extension_of(F.col("mime"))).alias("file"), F.concat("name", F.lit("_1080p.nv12")).alias("frame")
     )
 
 
 @query(
-    """SELECT page_id, url, concat(regexp_replace(url, '[?#].*$', ''),
-    CASE WHEN q = '' THEN '' ELSE concat('?', q) END, CASE WHEN frag = '#' THEN '' ELSE frag END) AS clean FROM (
-      SELECT page_id, url, array_to_string(list_filter(string_split(regexp_extract(url, '^[^?#]*\\?([^#]*)', 1), '&'), lambda p: NOT starts_with(p, 'utm_') AND regexp_matches(p, '^[^=]*=.+')), '&') AS q,
-      regexp_extract(url, '(#.*)$', 1) AS frag FROM pages)"""
+    """WITH cut AS (SELECT page_id, url, regexp_extract(url, '^([^?#]*)', 1) AS base, regexp_extract(url, '#(.*)$', 1) AS frag,
+      list_filter(string_split(regexp_extract(url, '^[^?#]*\\?([^#]*)', 1), '&'), lambda p: regexp_matches(p, '^[^=]*=.+')) AS pairs FROM pages),
+    decoded AS (SELECT page_id, url, base, frag, list_transform(pairs, lambda p: {'k': url_decode(replace(regexp_extract(p, '^([^=]*)=', 1), '+', ' ')), 'v': url_decode(replace(regexp_extract(p, '^[^=]*=(.*)$', 1), '+', ' '))}) AS pairs FROM cut),
+    coded AS (SELECT page_id, url, base, frag, array_to_string(list_transform(list_filter(pairs, lambda p: NOT starts_with(p.k, 'utm_')),
+      lambda p: replace(url_encode(p.k), '%20', '+') || '=' || replace(url_encode(p.v), '%20', '+')), '&') AS q FROM decoded)
+    SELECT page_id, url, concat(lower(regexp_extract(base, '^[A-Za-z][A-Za-z0-9+.-]*:')), regexp_replace(base, '^[A-Za-z][A-Za-z0-9+.-]*:', ''), CASE WHEN q = '' THEN '' ELSE '?' || q END, CASE WHEN frag = '' THEN '' ELSE '#' || frag END) AS clean FROM coded"""
 )
 def strip_tracking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", "url", text.strip_tracking(F.col("url")).alias("clean"))
@@ -96,7 +97,7 @@ def strip_tracking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def strip_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Text nodes by the standard HTML parser."""
+    """Text nodes, joined as they follow."""
     return table(spark, sf_dir, "pages").select("page_id", text.strip_html(F.col("html")).alias("text"))
 
 
@@ -107,7 +108,7 @@ def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """WITH old AS (SELECT d.doc_id, concat('doc_', d.doc_id) AS source, CASE WHEN l.quality = 1 THEN '1080p' ELSE '720p' END AS rung, sha256(d.text) AS sha256 FROM documents d JOIN labels l USING (doc_id)),
-    fresh AS (SELECT doc_id, concat('doc_', doc_id) AS source, '1080p' AS rung, sha256(text) AS sha256 FROM documents WHERE doc_id % 2 = 0),
+    fresh AS (SELECT doc_id, concat('doc_', doc_id) AS source, '1080p' AS rung, sha256(text) AS sha256 FROM documents),
     present AS (SELECT concat('doc_', doc_id) AS source FROM documents WHERE n_chars > 500),
     kept AS (SELECT o.source, o.rung, o.sha256, 'kept' AS state FROM old o SEMI JOIN present p USING (source) WHERE o.rung <> '1080p'),
     made AS (SELECT f.source, f.rung, f.sha256, CASE WHEN o.sha256 IS NULL THEN 'new' ELSE 'reused' END AS state
@@ -119,7 +120,7 @@ def manifest_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("source"), F.sha2("text", 256).alias("sha256"), "n_chars")
     labels = table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 1, "1080p").otherwise("720p").alias("rung"))
     old = docs.join(labels, "doc_id").select("source", "rung", "sha256")
-    made = docs.where(F.col("doc_id") % 2 == 0).select("source", F.lit("1080p").alias("rung"), "sha256")
+    made = docs.select("source", F.lit("1080p").alias("rung"), "sha256")
     kept = old.where("rung <> '1080p'").join(docs.where("n_chars > 500").select("source"), "source", "left_semi").withColumn("state", F.lit("kept"))
     same = old.withColumn("__old", F.lit(True))
     state = made.join(same, ["source", "rung", "sha256"], "left").withColumn("state", F.when(F.col("__old"), "reused").otherwise("new")).drop("__old")

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from .. import tables
 from ..functions.symbols import cluster, hybrid, pack_signed
 from ..operators import huffman, tokens
-from ..operators.windows import exclusive_scan
+from ..operators.codestream import CONTAINER_HEADER
+from ..operators.windows import CHUNK, exclusive_scan, move_to_front, scan_large
 from ..registry import query, table
 from .codec import DC_SQL, QUANT_SQL, dc_grid, dc_residuals, quantized_blocks
 
@@ -67,8 +68,8 @@ def nz_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.predicted(tokens.nonzero_grid(block_rows(spark, sf_dir))).select(F.col("by").alias("by_"), "bx", "nz", "predicted")
 
 
-_FREQ = "[" + ", ".join(map(str, tables.frequency_context())) + "]"
-_NZC = "[" + ", ".join(map(str, tables.nonzero_context())) + "]"
+_FREQ = "[" + ", ".join(map(str, tables.FREQUENCY_CONTEXTS)) + "]"
+_NZC = "[" + ", ".join(map(str, tables.NONZERO_CONTEXTS)) + "]"
 
 
 def _band_sql(v: str, limits: tuple[int, ...]) -> str:
@@ -122,19 +123,11 @@ def context_cluster_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM last x JOIN last y ON y.user_id = x.user_id AND y.i = x.i WHERE x.u = x.v GROUP BY x.event_id, x.v"""
 )
 def mtf_context_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Move-to-front codes of each user's event kinds, by folding an array that holds the order."""
+    """Move-to-front codes of each user's event kinds."""
     kinds = F.array(*map(F.lit, ("click", "error", "purchase", "signup", "view")))
-    rows = table(spark, sf_dir, "events").select("user_id", "event_id", F.least(F.array_position(kinds, F.col("event_type")) - 1, F.lit(4)).cast("int").alias("v"))
-    rows = rows.withColumn("v", F.when(F.col("v") < 0, 4).otherwise(F.col("v")))
-    lists = rows.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "v"))).alias("s"))
-    start = F.struct(F.sequence(F.lit(0), F.lit(4)).alias("order"), F.array().cast("array<struct<event_id:bigint,v:int,code:int>>").alias("out"))
-
-    def step(a, x):
-        code = (F.array_position(a["order"], x["v"]) - 1).cast("int")
-        moved = F.concat(F.array(x["v"]), F.filter(a["order"], lambda o: o != x["v"]))
-        return F.struct(moved.alias("order"), F.concat(a["out"], F.array(F.struct(x["event_id"].alias("event_id"), x["v"].alias("v"), code.alias("code")))).alias("out"))
-
-    return lists.select(F.explode(F.aggregate("s", start, step, lambda a: a["out"])).alias("r")).select("r.*")
+    place = F.array_position(kinds, F.col("event_type")) - 1
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", F.when(place >= 0, place).otherwise(4).cast("int").alias("v"))
+    return move_to_front(rows, ["user_id"], "event_id", "v", 5, F.floor(F.col("event_id") / CHUNK)).select("event_id", "v", "code")
 
 
 @query(
@@ -143,11 +136,9 @@ def mtf_context_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def group_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Start of each section within its group, and the group's size."""
-    from pyspark.sql import Window as W
-
     rows = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").cast("long").alias("bytes"))
-    start = exclusive_scan("bytes", ["l_suppkey"], ["l_orderkey", "l_linenumber", "l_partkey"])
-    return rows.select("l_suppkey", "l_orderkey", "l_linenumber", start.alias("start"), F.sum("bytes").over(W.partitionBy("l_suppkey")).alias("total"))
+    scanned = scan_large(rows, "bytes", ["l_suppkey"], ["l_orderkey", "l_linenumber", "l_partkey"], F.floor(F.col("l_orderkey") / CHUNK), "start", "total")
+    return scanned.select("l_suppkey", "l_orderkey", "l_linenumber", "start", "total")
 
 
 def codes(histogram: DataFrame, by: str = "cluster") -> DataFrame:
@@ -170,8 +161,6 @@ def huffman_code(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pack_groups(coded: DataFrame, table_: DataFrame) -> DataFrame:
     """(image, gy, gx, n_tokens, n_bits, data) from tokens and codes. A group is at most 32 x 32 blocks of three channels, so it fits a task."""
-    from pyspark.sql import functions as F
-
     joined = coded.join(F.broadcast(table_), ["cluster", "symbol"])  # at most 32 clusters of a few hundred symbols
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -189,17 +178,13 @@ def pack_groups(coded: DataFrame, table_: DataFrame) -> DataFrame:
 
 @query()
 def ac_group_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Packed sections with their offsets. Tokens are used twice (histogram, packing), so they are kept."""
-    coded = tokens.tokenize(block_rows(spark, sf_dir)).persist()
+    """Packed sections with their offsets. Tokens are made twice (histogram, packing), which needs no copy of them that someone must release."""
+    coded = tokens.tokenize(block_rows(spark, sf_dir))
     packed = pack_groups(coded, codes(coded.groupBy("cluster", "symbol").agg(F.count(F.lit(1)).alias("n"))))
     sized = packed.withColumn("size", F.length("data"))
     return sized.select("image", "gy", "gx", "n_tokens", "n_bits", F.sha2("data", 256).alias("sha256"), exclusive_scan("size", ["image"], ["gy", "gx"]).alias("start"), "size")
 
 
-#: The file signature and type boxes. Fixed values.
-CONTAINER_HEADER = bytes.fromhex("0000000c4a584c200d0a870a" + "00000014667479706a786c20000000006a786c20")
-
-
 @query(
     """SELECT doc_id, concat('0000000c4a584c200d0a870a00000014667479706a786c20000000006a786c20', lpad(lower(to_hex(strlen(text) + 8)), 8, '0'), '6a786c63') AS head, 40 + strlen(text) AS bytes FROM documents"""
 )

@@ -193,8 +193,8 @@ def frame_ac_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def codestream_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The AC groups of a frame, packed: sizes, starts and hashes. Tokens are kept between the histogram and the packing."""
-    coded = tokens.tokenize(channel_blocks(blocks_of(spark, sf_dir))).persist()
+    """The AC groups of a frame, packed: sizes, starts and hashes."""
+    coded = tokens.tokenize(channel_blocks(blocks_of(spark, sf_dir)))
     packed = pack_groups(coded, codes(coded.groupBy("cluster", "symbol").agg(F.count(F.lit(1)).alias("n")))).withColumn("size", F.length("data"))
     return packed.select("image", "gy", "gx", "n_tokens", "n_bits", "size", exclusive_scan("size", ["image"], ["gy", "gx"]).alias("start"), F.sha2("data", 256).alias("sha256"))
 

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: Schemas of documents that other tools exchange.
 FILE = "name string, page string, url string, width int, height int, mime string, sha1 string, author string, license string"
 SOURCES = f"generated string, constraints struct<category:string,min_width:int,min_height:int,max_width:int,max_height:int,mimes:array<string>>, files array<struct<{FILE.replace(' ', ':').replace(',:', ',')}>>"
@@ -24,35 +29,46 @@ def read_nv12(spark: SparkSession, path: str, width: int, height: int, glob: str
     """Raw frames of a folder as (image, content), in the order of their paths. A file of another size is an error."""
     size = width * height * 3 // 2
     rows = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
+    if rows.select("path").isEmpty():
+        raise FileNotFoundError(f"no {glob} in {path}")
     checked = F.when(F.col("length") == size, F.col("content")).otherwise(F.raise_error(F.concat(F.lit("short frame: "), F.col("path"))).cast("binary"))
     return rows.select("path", checked.alias("content")).orderBy("path").select(F.regexp_extract("path", "([^/]*)$", 1).alias("image"), "content")
 
 
-def byte_at(content: Column, i: Column) -> Column:
-    """Unsigned value of one byte."""
-    return F.conv(F.hex(F.substr(content, i + 1, F.lit(1))), 16, 10).cast("int")
+def _lines(frames: DataFrame, first: int, count: int, width: int) -> DataFrame:
+    """(image, row, line) of whole lines of bytes, cut before anything is decoded: a row is one line, not a frame."""
+    cut = frames.select("image", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("row"), "content")
+    return cut.select("image", "row", F.substr("content", F.lit(first + 1) + F.col("row") * width, F.lit(width)).alias("line"))
 
 
 def scanlines(frames: DataFrame, width: int, height: int) -> DataFrame:
-    """(image, y, luma) of raw frames. Lines are cut first, so a row is one line's bytes, not a frame's."""
-    cut = frames.select("image", F.explode(F.sequence(F.lit(0), F.lit(height - 1))).alias("y"), "content").select("image", "y", F.substr("content", F.col("y") * width + 1, F.lit(width)).alias("line"))
-    return cut.select("image", "y", F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda x: byte_at(F.col("line"), x)).alias("luma"))
+    """(image, y, luma) of raw frames."""
+    ship(frames.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"image": b["image"], "y": b["row"], "luma": [np.frombuffer(x, np.uint8).astype(np.int32) for x in b["line"]]})
+
+    return _lines(frames, 0, height, width).mapInPandas(run, "image string, y int, luma array<int>")
 
 
 def chroma_rows(frames: DataFrame, width: int, height: int) -> DataFrame:
     """(image, cy, cb, cr): even bytes are Cb, odd ones Cr."""
-    start = width * height
-    cut = frames.select("image", F.explode(F.sequence(F.lit(0), F.lit(height // 2 - 1))).alias("cy"), "content").select(
-        "image", "cy", F.substr("content", F.lit(start + 1) + F.col("cy") * width, F.lit(width)).alias("line")
-    )
-    cells = F.sequence(F.lit(0), F.lit(width // 2 - 1))
-    return cut.select("image", "cy", F.transform(cells, lambda x: byte_at(F.col("line"), 2 * x)).alias("cb"), F.transform(cells, lambda x: byte_at(F.col("line"), 2 * x + 1)).alias("cr"))
+    ship(frames.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            both = [np.frombuffer(x, np.uint8).astype(np.int32) for x in b["line"]]
+            yield pd.DataFrame({"image": b["image"], "cy": b["row"], "cb": [v[0::2] for v in both], "cr": [v[1::2] for v in both]})
+
+    return _lines(frames, width * height, height // 2, width).mapInPandas(run, "image string, cy int, cb array<int>, cr array<int>")
 
 
 def synthetic_nv12(width: int, height: int) -> bytes:
     """A test frame of two ramps."""
-    luma = bytes((3 * x + 5 * y) & 255 for y in range(height) for x in range(width))
-    return luma + bytes((7 * x + 11 * y) & 255 for y in range(height // 2) for x in range(width))
+    x = np.arange(width)
+    luma, chroma = (x * a + np.arange(n)[:, None] * b for a, b, n in ((3, 5, height), (7, 11, height // 2)))
+    return (luma & 255).astype(np.uint8).tobytes() + (chroma & 255).astype(np.uint8).tobytes()
 
 
 def parse_imageinfo(responses: DataFrame) -> DataFrame:
@@ -73,26 +89,32 @@ def parse_imageinfo(responses: DataFrame) -> DataFrame:
 def collect_pages(spark: SparkSession, fetch: Callable[[dict], str], wanted: int, category: str = "Category:Files") -> DataFrame:
     """Responses of a paged listing, page by page on the driver until enough candidates are there; fetch(params) returns JSON text.
 
-    Whole listing pages are taken, titles go in batches of fifty.
+    Whole listing pages are taken, titles go in batches of fifty. The driver only counts; the responses become rows.
     """
-    import json
-
     responses: list[tuple[str]] = []
     token, found = None, 0
     while found < wanted:
         params = {"action": "query", "list": "categorymembers", "cmtitle": category, "cmtype": "file", "cmlimit": "500"} | ({"cmcontinue": token} if token else {})
         listing = json.loads(fetch(params))
         titles = [m["title"] for m in listing["query"]["categorymembers"]]
-        fresh = [(fetch({"action": "query", "prop": "imageinfo", "titles": "|".join(titles[i : i + 50])}),) for i in range(0, len(titles), 50)]
-        responses += fresh
-        if fresh:
-            found += parse_imageinfo(spark.createDataFrame(fresh, "value string")).count()
+        fresh = [fetch({"action": "query", "prop": "imageinfo", "titles": "|".join(titles[i : i + 50])}) for i in range(0, len(titles), 50)]
+        responses += [(x,) for x in fresh]
+        found += sum(map(_candidates, fresh))
         token = listing.get("continue", {}).get("cmcontinue")
         if token is None:
             break
     return spark.createDataFrame(responses, "value string")
 
 
+def _candidates(response: str) -> int:
+    """How many pages of a response ``parse_imageinfo`` keeps."""
+    from ..functions.text import EXTENSIONS
+    from ..plans.corpus import MAX_HEIGHT, MAX_WIDTH, MIN_HEIGHT, MIN_WIDTH
+
+    infos = [page["imageinfo"][0] for page in json.loads(response).get("query", {}).get("pages", {}).values() if page.get("imageinfo")]
+    return sum(i.get("mime") in EXTENSIONS and MIN_WIDTH <= i.get("width", 0) <= MAX_WIDTH and MIN_HEIGHT <= i.get("height", 0) <= MAX_HEIGHT for i in infos)
+
+
 def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A document file with a fixed schema."""
     return spark.read.schema(schema).option("multiLine", True).json(path)
@@ -114,11 +136,23 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_manifest(assets: DataFrame, path: str) -> None:
-    """One document, assets in the order of (source, rung). A manifest has a few rows per image and is one file by nature."""
-    cols = sorted(assets.columns)
-    doc = assets.agg(F.array_sort(F.collect_list(F.struct(*sorted(cols, key=lambda c: (c not in ("source", "rung"), c != "source", c))))).alias("assets"))
-    out = doc.select(F.to_json(F.struct("assets", F.lit("4:2:0").alias("chroma"), F.lit("BT.709").alias("colorspace"), F.lit("NV12").alias("format"), F.lit("full").alias("range"))).alias("value"))
-    out.coalesce(1).write.mode("overwrite").text(path)
+    """One document, assets by name, keys sorted. A manifest has a few rows per image and is one file by nature."""
+    from .reports import manifest_document, write_json
+
+    write_json(assets.sparkSession, path, manifest_document(assets), sort_keys=True)
+
+
+def sweep_points(spark: SparkSession, path: str) -> DataFrame:
+    """Records of a sweep file in long form: one row per metric, the parameter as a number, oriented so that more is better."""
+    from ..plans.analysis import points
+
+    rows = read_json(spark, path, SWEEP)
+    return points(rows.select("codec", "image", F.split("param", "=", 2)[1].cast("double").alias("param_value"), "bpp", "psnr", "butteraugli", "ssimulacra2"))
+
+
+def stage_records(spark: SparkSession, path: str) -> DataFrame:
+    """Stages of a budget document, with its rate and factors in each row."""
+    return read_json(spark, path, STAGES).select("fps", "projection", F.explode("stages").alias("s")).select("fps", "projection", "s.*")
 
 
 def parse_report(reports: DataFrame) -> DataFrame:

@@ -1,46 +1,52 @@
 """Quality classifier: supervised subword embeddings.
 
-A document is the mean of its words' vectors; a word's vector is the mean of the learned vectors of its hashed
-features: the word itself and its character n-grams, with marks for the word's ends. The word bigrams are hashed by
-their pattern alone: one that repeats a word adds the pseudo-word REPEAT. A softmax layer gives two
-classes. Embeddings and output layer are trained together by stochastic gradient descent (numpy, AdaGrad steps).
+A document is the mean of the vectors of its words and of its word bigrams. A word's vector is the mean of the learned
+vectors of its hashed features: the word itself and its character n-grams, with marks for the word's ends; a bigram (two
+words in a row) is one hashed feature. A softmax layer gives two classes. Embeddings and output layer are trained
+together by stochastic gradient descent (numpy, AdaGrad steps).
 
-As mean and output layer are linear, class score(document) = mean over words of (mean over features of
+As mean and output layer are linear, class score(document) = mean over words and bigrams of (mean over features of
 output . embedding): after training each hashed feature is reduced to one number, so a model is one array of
-``buckets`` floats, and each distinct word is scored once a batch.
+``buckets`` floats, each distinct word is scored once and each bigram is one look-up.
+
+Training. At most ``max_train`` labelled documents, in the order of a hash of doc_id, are hashed to (feature, weight)
+pairs on the executors; one task trains on at most ``max_pairs`` of them in all (documents with more than ``max_pairs`` / 64 are
+not learned from) and hands back the array of weights. No text and no feature reaches the driver.
 
 Edge cases: null and empty texts have no words and get the score of the bias alone. Rows without doc_id are scored
-as any other and never learned from. Contradicting labels of one document count by majority (ties: 1). With no
-labelled rows the score is 0.5 for all. Further columns of the input are ignored.
+as any other and never learned from. Contradicting labels of one document count by majority (ties: 1); of rows that
+repeat a doc_id one text is learned from, the one with the least hash. With no labelled rows the score is 0.5 for all;
+an empty table gives an empty result. Very long texts are scored whole. Further columns of the input are ignored, and
+kept by ``keep_good``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_arrow, texts_of
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0x100000001B3)
-REPEAT = "\x00="
+_PAIR = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 @dataclass(frozen=True)
 class Params:
-    """max_train bounds the labelled rows that are learned from (taken in the order of a hash of doc_id)."""
+    """max_train bounds the labelled rows that are learned from (taken in the order of a hash of doc_id), max_pairs their (feature, weight) pairs of 8 bytes."""
 
-    buckets: int = 1 << 16
+    buckets: int = 1 << 17
     dim: int = 8
     min_n: int = 3
     max_n: int = 4
     max_train: int = 3000
+    max_pairs: int = 1 << 23
     epochs: int = 5
     batch: int = 40
     rate: float = 0.25
@@ -55,17 +61,11 @@ class Model:
     params: Params
 
 
-def tokens(text: str) -> list[str]:
-    """The words between white space, then REPEAT for each word that equals the one before it."""
-    words = text.split()
-    return words + [REPEAT] * sum(map(eq, words, words[1:]))
-
-
-def word_features(words: list[str], p: Params) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket numbers of all words, and where each word's begin. Every word has one feature at least."""
+def word_features(words: list[str], p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bucket numbers of all words, where each word's begin, and each word's hash. Every word has one feature at least."""
     n = len(words)
     if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     marked = [f"<{w}>" for w in words]
     lengths = np.fromiter(map(len, marked), np.int64, n)
     code = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
@@ -92,21 +92,36 @@ def word_features(words: list[str], p: Params) -> tuple[np.ndarray, np.ndarray]:
     own = np.concatenate(owners)
     order = np.argsort(own, kind="stable")
     counts = np.bincount(own, minlength=n)
-    return np.concatenate(buckets)[order].astype(np.int64), np.concatenate(([0], np.cumsum(counts)[:-1]))
+    return np.concatenate(buckets)[order].astype(np.int64), np.concatenate(([0], np.cumsum(counts)[:-1])), whole
+
+
+def bigram_buckets(h: np.ndarray, p: Params) -> np.ndarray:
+    """Bucket of each two neighbours of a sequence of word hashes."""
+    with np.errstate(over="ignore"):
+        return (((h[:-1] * _PAIR + h[1:]) * _MIX >> np.uint64(20)) % np.uint64(p.buckets)).astype(np.int64)
+
+
+def doc_features(text: str, p: Params) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct buckets of a text and their weights, which sum to 1 (none for a text without words)."""
+    words = text.split()
+    if not words:
+        return np.zeros(0, np.int32), np.zeros(0, np.float32)
+    number: dict[str, int] = {}
+    ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
+    feats, starts, h = word_features(list(number), p)
+    sizes = np.diff(np.append(starts, len(feats)))
+    each = np.repeat(np.bincount(ids) / sizes, sizes)
+    pairs = bigram_buckets(h[ids], p)
+    buckets, where = np.unique(np.concatenate([feats, pairs]), return_inverse=True)
+    weights = np.bincount(where, np.concatenate([each, np.ones(len(pairs))])) / (2 * len(words) - 1)
+    return buckets.astype(np.int32), weights.astype(np.float32)
 
 
-def train(texts: list[str], labels: list[int], p: Params) -> Model:
-    """Stochastic gradient descent on softmax cross-entropy, in an order that the seed fixes."""
-    if not texts:
+def train(docs: list[tuple[np.ndarray, np.ndarray]], labels: list[int], p: Params) -> Model:
+    """Stochastic gradient descent on softmax cross-entropy over ``doc_features``, in an order that the seed fixes."""
+    if not docs:
         return Model(np.zeros(p.buckets, np.float32), 0.0, p)
     rng = np.random.default_rng(p.seed)
-    number: dict[str, int] = {}
-    docs = []
-    for t in texts:
-        ids = np.fromiter((number.setdefault(w, len(number)) for w in tokens(t)), np.int64)
-        docs.append(np.unique(ids, return_counts=True))
-    feats, starts = word_features(list(number), p)
-    ends = np.append(starts[1:], len(feats))
     emb = rng.uniform(-1 / p.dim, 1 / p.dim, (p.buckets, p.dim)).astype(np.float32)
     out = np.zeros((2, p.dim), np.float32)
     out[1], out[0] = 0.1, -0.1
@@ -118,20 +133,11 @@ def train(texts: list[str], labels: list[int], p: Params) -> Model:
         order = rng.permutation(len(docs))
         for lo in range(0, len(order), p.batch):
             pick = order[lo : lo + p.batch]
-            used, where = np.unique(np.concatenate([docs[d][0] for d in pick]), return_inverse=True)
-            if not len(used):
-                continue
-            mix = np.zeros((len(pick), len(used)), np.float32)
-            k = 0
-            for row, d in enumerate(pick):
-                ids, counts = docs[d]
-                mix[row, where[k : k + len(ids)]] = counts / max(1, counts.sum())
-                k += len(ids)
-            sizes = ends[used] - starts[used]
-            first = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-            flat = feats[np.arange(sizes.sum()) - np.repeat(first, sizes) + np.repeat(starts[used], sizes)]
-            vec = np.add.reduceat(emb[flat], first, axis=0) / sizes[:, None]
-            doc = mix @ vec
+            flat = np.concatenate([docs[d][0] for d in pick])
+            weight = np.concatenate([docs[d][1] for d in pick])[:, None]
+            owner = np.repeat(np.arange(len(pick)), [len(docs[d][0]) for d in pick])
+            vec = emb[flat] * weight
+            doc = np.stack([np.bincount(owner, vec[:, j], len(pick)) for j in range(p.dim)], 1)
             z = doc @ out.T + bias
             z -= z.max(1, keepdims=True)
             g = np.exp(z)
@@ -139,46 +145,63 @@ def train(texts: list[str], labels: list[int], p: Params) -> Model:
             g[np.arange(len(pick)), y[pick]] -= 1
             g /= len(pick)
             d_out, d_bias, d_doc = g.T @ doc, g.sum(0), g @ out
-            d_vec = (mix.T @ d_doc) / sizes[:, None]
-            rows, inverse = np.unique(flat, return_inverse=True)
-            each = np.repeat(d_vec, sizes, axis=0)
-            d_emb = np.stack([np.bincount(inverse, each[:, j], len(rows)) for j in range(p.dim)], 1).astype(np.float32)
-            sq_emb[rows] += (d_emb**2).mean(1)
-            emb[rows] -= p.rate * d_emb / np.sqrt(sq_emb[rows])[:, None]
-            sq_out += d_out**2
-            out -= p.rate * d_out / np.sqrt(sq_out)
-            sq_bias += d_bias**2
-            bias -= 0.1 * p.rate * d_bias / np.sqrt(sq_bias)
+            if len(flat):
+                rows, inverse = np.unique(flat, return_inverse=True)
+                each = d_doc[owner] * weight
+                d_emb = np.stack([np.bincount(inverse, each[:, j], len(rows)) for j in range(p.dim)], 1).astype(np.float32)
+                sq_emb[rows] += (d_emb**2).mean(1)
+                emb[rows] -= p.rate * d_emb / np.sqrt(sq_emb[rows])[:, None]
+            sq_out += (d_out**2).astype(np.float32)
+            out -= (p.rate * d_out / np.sqrt(sq_out)).astype(np.float32)
+            sq_bias += (d_bias**2).astype(np.float32)
+            bias -= (0.1 * p.rate * d_bias / np.sqrt(sq_bias)).astype(np.float32)
     return Model((emb @ (out[1] - out[0])).astype(np.float32), float(bias[1] - bias[0]), p)
 
 
-def score_words(words: list[str], model: Model) -> list[float]:
-    feats, starts = word_features(words, model.params)
-    if not len(starts):
-        return []
-    sizes = np.diff(np.append(starts, len(feats)))
-    return (np.add.reduceat(model.weights[feats].astype(np.float64), starts) / sizes).tolist()
-
-
-def score_texts(texts: list[str], model: Model, known: dict[str, float] | None = None) -> list[float]:
-    """Probability of class 1. known: scores of words, kept between calls and emptied when it grows large."""
-    known = {} if known is None else known
-    split = [tokens(t) for t in texts]
-    new: set[str] = set()
-    for words in split:
-        new.update(words)
-    new.difference_update(known)
-    if new:
-        if len(known) + len(new) > 400_000:
-            known.clear()
-            new = set().union(*split)
-        fresh = list(new)
-        for lo in range(0, len(fresh), 50_000):
-            part = fresh[lo : lo + 50_000]
-            known.update(zip(part, score_words(part, model), strict=True))
-    get = known.__getitem__
-    logits = np.array([sum(map(get, w)) / len(w) if w else 0.0 for w in split]) + model.bias
-    return (1 / (1 + np.exp(-np.clip(logits, -50, 50)))).tolist()
+class Scorer:
+    """Scores of texts by a model. Words keep their number, score and hash between calls, up to 200,000 of them."""
+
+    def __init__(self, model: Model) -> None:
+        self.model = model
+        self.weights = model.weights.astype(np.float64)
+        self._empty()
+
+    def _empty(self) -> None:
+        self.number: dict[str, int] = {}
+        self.score, self.hash = np.zeros(0), np.zeros(0, np.uint64)
+
+    def _learn(self, words: set[str]) -> None:
+        new = [w for w in words if w not in self.number]
+        if len(self.number) + len(new) > 200_000:
+            self._empty()
+            new = list(words)
+        for lo in range(0, len(new), 50_000):
+            part = new[lo : lo + 50_000]
+            feats, starts, h = word_features(part, self.model.params)
+            sizes = np.diff(np.append(starts, len(feats)))
+            self.number.update(zip(part, range(len(self.number), len(self.number) + len(part)), strict=True))
+            self.score = np.concatenate([self.score, np.add.reduceat(self.weights[feats], starts) / sizes])
+            self.hash = np.concatenate([self.hash, h])
+
+    def __call__(self, texts: list[str]) -> list[float]:
+        """Probability of class 1."""
+        split = [t.split() for t in texts]
+        self._learn(set().union(*split))
+        get, p = self.number.__getitem__, self.model.params
+        means = []
+        for words in split:
+            n = len(words)
+            if not n:
+                means.append(0.0)
+                continue
+            ids = np.fromiter(map(get, words), np.int64, n)
+            total = self.score[ids].sum() + self.weights[bigram_buckets(self.hash[ids], p)].sum()
+            means.append(total / (2 * n - 1))
+        return (1 / (1 + np.exp(-np.clip(np.array(means) + self.model.bias, -50, 50)))).tolist()
+
+
+def score_texts(texts: list[str], model: Model) -> list[float]:
+    return Scorer(model)(texts)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -187,31 +210,53 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, p: Params | None = None) -> Model:
-    """Learn from at most p.max_train labelled documents outside the test fold. Only their texts reach the driver."""
+    """Learn from at most p.max_train labelled documents outside the test fold. Only the model reaches the driver."""
     p = p or Params()
     chosen = (
         labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.max_train)
     )
-    ids = [(r.doc_id, r.y) for r in chosen.collect()]
-    small = docs.sparkSession.createDataFrame(ids, "doc_id long, y int")
-    rows = docs.select("doc_id", "text").join(F.broadcast(small), "doc_id").dropDuplicates(["doc_id"]).collect()
-    rows.sort(key=lambda r: r.doc_id)
-    return train([r.text or "" for r in rows], [r.y for r in rows], p)
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 100):
+                part = b.slice(lo, 100)
+                got = [doc_features(t, p) for t in texts_of(part.column(3))]
+                ok = pa.array([len(x) * 64 <= p.max_pairs for x, _ in got])
+                packed = [pa.array([x[k].tobytes() for x in got], pa.binary()) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], *packed], names=["doc_id", "y", "pick", "buckets", "weights"]).filter(ok)
+
+    def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs: list[tuple[int, int, np.ndarray, np.ndarray]] = []
+        for b in batches:
+            docs += zip(b.column(0).to_pylist(), b.column(1).to_pylist(), *([np.frombuffer(x.as_py(), kind) for x in b.column(k)] for k, kind in ((2, np.int32), (3, np.float32))), strict=True)
+        docs.sort(key=lambda d: d[0])
+        m = train([d[2:] for d in docs], [d[1] for d in docs], p)
+        yield pa.RecordBatch.from_arrays([pa.array([m.weights.tobytes()], pa.binary()), pa.array([m.bias], pa.float64())], names=["weights", "bias"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen.withColumn("doc_id", F.col("doc_id").cast("long"))), "doc_id")  # max_train rows
+    rows = map_arrow(texts.select("doc_id", "y", F.xxhash64("text").alias("pick"), "text"), hashed, "doc_id long, y int, pick long, buckets binary, weights binary")
+    one = rows.groupBy("doc_id").agg(F.min(F.struct("pick", "y", "buckets", "weights")).alias("m")).select("doc_id", "m.*")
+    so_far = F.sum(F.length("weights") / 4).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))  # max_train rows
+    taken = one.withColumn("__pairs", so_far).where(F.col("__pairs") <= p.max_pairs).select("doc_id", "y", "buckets", "weights")
+    got = map_arrow(taken.coalesce(1), trained, "weights binary, bias double").first()
+    return Model(np.frombuffer(bytes(got.weights), np.float32), float(got.bias), p) if got else train([], [], p)
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None, name: str = "score") -> DataFrame:
     """The columns ``keep`` (doc_id) and the score. Only the text is read to score."""
     keep = keep or ["doc_id"]
-    frame = docs.select(*keep, F.col("text").alias("__text"))
+    frame = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("__text"))
     fields = ", ".join(f"`{c}` {t}" for c, t in frame.dtypes[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, float] = {}
+        scorer = Scorer(model)
         for b in batches:
-            got = score_texts(texts_of(b.column(len(keep))), model, known)
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(got, pa.float64())], names=[*keep, name])
+            for lo in range(0, b.num_rows, 500):
+                part = b.slice(lo, 500)
+                got = scorer(texts_of(part.column(len(keep))))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(got, pa.float64())], names=[*keep, name])
 
     return map_arrow(frame, run, f"{fields}, `{name}` double")
 

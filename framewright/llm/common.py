@@ -3,41 +3,25 @@
 from __future__ import annotations
 
 import gc
-import os
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-_PACKAGE = Path(__file__).resolve().parent.parent
-_SHIPPED: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once per Spark application."""
-    sc = spark.sparkContext
-    if sc.applicationId in _SHIPPED:
-        return
-    target = os.path.join(tempfile.mkdtemp(prefix="framewright-"), "framewright-llm.zip")
-    with zipfile.ZipFile(target, "w") as z:
-        for p in sorted(_PACKAGE.rglob("*.py")):
-            z.write(p, str(p.relative_to(_PACKAGE.parent)))
-    sc.addPyFile(target)
-    _SHIPPED.add(sc.applicationId)
-
+from ..shipping import ship
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that the driver and all executors share (spark.checkpoint.dir).
 
-    Where the session sets none (tests on one machine), a temporary folder is chosen and set.
+    Where the session sets none, a temporary folder is chosen and set on one machine (tests); on a cluster that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="framewright-shared-")
         spark.sparkContext.setCheckpointDir(root)

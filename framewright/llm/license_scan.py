@@ -3,12 +3,14 @@
 A text is cut after . ! ? ; : before white space, and each piece into lines. Normalised (lower case, only letters,
 digits and inner dots, single spaces), a line or a run of lines that is a known licence sentence becomes its
 identifier, the longest run first (so wrapped and commented texts are read like others; a blank line ends a run); the
-rest becomes nothing, and the sequence of identifiers remains. The BSD clause may name any holder of up to 12 words. An ordered list of rules, each a sequence of
-identifiers with or without gaps between them, is matched against it: the first rule that fits at a place gives the
-licence. All rules are reported, with the first as the document's licence.
-
-Edge cases: null and empty texts have no licence. Repeated sentences count once for the result. Very long texts are
-filtered before they are mapped, so only candidate sentences are compared.
+rest becomes nothing, and the sequence of identifiers remains. The BSD clause may name any holder of up to 12 words. An
+ordered list of rules, each a sequence of identifiers with or without gaps between them, is matched against it: the
+first rule that fits at a place gives the licence. All rules are reported, with the first as the document's licence.
+
+Edge cases: null and empty texts have no licence. Repeated sentences count once for the result, repeated rows each give
+their own. Where several rules fit, the order of the rules decides; among sentences that begin at one place, the longest.
+Very long texts are scanned whole; pieces without any licence word are skipped before they are compared. An empty table
+gives an empty result. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -57,10 +59,28 @@ WHOLE = {
     "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software": "MIT_NOTICE",
     "the above copyright notice and this permission notice including the next paragraph shall be included in all copies or substantial portions of the software": "MIT_NOTICE",
     "licensed under the gnu general public license version 3": "GPL3",
-    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "GPL_V3",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "GPL_TERMS_V3",
     "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "BSD_REDIST",
     "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "BSD_NAME",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "GPL_V2",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation version 2": "GPL2",
+    "you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation": "GPL2",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation version 3": "GPL3",
+    "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2.1 of the license or at your option any later version": "LGPL_V21",
+    "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": "LGPL_V3",
+    "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version": "AGPL_V3",
+    "this source code form is subject to the terms of the mozilla public license v": "MPL",
+    "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla.org mpl 2.0": "MPL2_COPY",
+    "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla.org mpl 2.0": "MPL2_COPY",
+    "this source code form is subject to the terms of the mozilla public license version 2.0": "MPL2",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "ISC_GRANT",
+    "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "ISC_GRANT",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "ZERO_BSD",
+    "this is free and unencumbered software released into the public domain": "UNLICENSE",
     "this work is licensed under a creative commons attribution 4.0 international license": "BY4",
+    "this work is licensed under the creative commons attribution 4.0 international license": "BY4",
+    "this work is licensed under a creative commons attribution sharealike 4.0 international license": "BYSA4",
+    "this work is licensed under the creative commons attribution sharealike 4.0 international license": "BYSA4",
     "this work is licensed under a creative commons attribution noncommercial 4.0 international license": "BYNC4",
 }
 
@@ -70,26 +90,44 @@ RULES = [
     ("Apache-2.0", ["APACHE2"]),
     ("MIT", ["MIT_GRANT", "MIT_NOTICE"]),
     ("MIT", ["MIT"]),
+    ("ISC", ["ISC_GRANT"]),
+    ("0BSD", ["ZERO_BSD"]),
+    ("MPL-2.0", ["MPL", "MPL2_COPY"]),
+    ("MPL-2.0", ["MPL2"]),
+    ("AGPL-3.0-or-later", ["AGPL_V3"]),
+    ("LGPL-3.0-or-later", ["LGPL_V3"]),
+    ("LGPL-2.1-or-later", ["LGPL_V21"]),
+    ("GPL-3.0-or-later", ["GPL_TERMS_V3"]),
     ("GPL-3.0-or-later", ["GPL_FREE", "GPL_V3"]),
+    ("GPL-2.0-or-later", ["GPL_V2"]),
+    ("GPL-2.0-only", ["GPL2"]),
     ("GPL-3.0-only", ["GPL3"]),
     ("BSD-3-Clause", ["BSD_REDIST", "BSD_NAME"]),
     ("BSD-2-Clause", ["BSD_REDIST"]),
     ("CC-BY-NC-4.0", ["BYNC4"]),
+    ("CC-BY-SA-4.0", ["BYSA4"]),
     ("CC-BY-4.0", ["BY4"]),
+    ("Unlicense", ["UNLICENSE"]),
     ("CC0-1.0", ["CC0"]),
 ]
 
-_HINT = "(?i)licen|released|permission|copyright|warrant|redistribut|free[^a-z0-9]+software|either[^a-z0-9]+version"
+_HINT = "licen|released|permission|copyright|warrant|redistribut|free[^a-z0-9]+software|[^a-z]mpl[^a-z]|unencumbered|either[^a-z0-9]+version"
 _KNOWN = {s: name for name, s in SENTENCES.items()} | WHOLE
 _HOLDER = "neither the name of the copyright holder nor "
-#: Known sentences between bars, the longest first; between words a space or the bar of a line end.
-_RUN = (
-    r"(?<=\|)(?:"
-    + "|".join(re.escape(s).replace(r"\ ", "[ |]") for s in sorted(_KNOWN, key=len, reverse=True)).replace(
-        re.escape("the copyright holder").replace(r"\ ", "[ |]") + "[ |]nor", r"(?:[a-z0-9.]+[ |]){1,12}?nor"
-    )
-    + r")(?=\|)"
-)
+
+
+def _pattern(sentence: str) -> str:
+    """Between words a space or a line's end and the next one's beginning."""
+    gap = r"(?: |\|\|)"
+    words = [re.escape(w) for w in sentence.split()]
+    if sentence.startswith(_HOLDER):
+        at = sentence.split().index("nor")
+        return gap.join(words[:4]) + gap + rf"(?:[a-z0-9.]+{gap}){{1,12}}?" + gap.join(words[at:])
+    return gap.join(words)
+
+
+#: Known sentences as whole lines or runs of lines, each line between bars; the longest first.
+RUN = r"\|(?:" + "|".join(_pattern(s) for s in sorted(_KNOWN, key=lambda s: (-len(s), s))) + r")\|"
 
 
 def normalise(sentence: Column) -> Column:
@@ -99,11 +137,11 @@ def normalise(sentence: Column) -> Column:
 
 def identifiers(text: Column) -> Column:
     """The known sentences of a text, in order."""
-    pieces = F.filter(F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?;:])\s+"), lambda s: s.rlike(_HINT))
-    lines = lambda s: F.concat(F.lit("|"), F.array_join(F.transform(F.split(s, "\n"), normalise), "|"), F.lit("|"))
-    found = F.flatten(F.transform(pieces, lambda s: F.regexp_extract_all(lines(s), F.lit(_RUN), F.lit(0))))
+    pieces = F.filter(F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?;:])\s+"), lambda s: F.lower(s).rlike(_HINT))
+    lines = lambda s: F.concat(F.lit("|"), F.array_join(F.transform(F.split(s, "\n"), normalise), "||"), F.lit("|"))
+    found = F.flatten(F.transform(pieces, lambda s: F.regexp_extract_all(lines(s), F.lit(RUN), F.lit(0))))
     table = F.create_map(*[F.lit(x) for s, name in _KNOWN.items() for x in (s, name)])
-    plain = lambda s: F.regexp_replace(F.translate(s, "|", " "), "^neither the name of .*? nor ", _HOLDER)
+    plain = lambda s: F.regexp_replace(F.trim(F.regexp_replace(s, r"\|+", " ")), "^neither the name of .*? nor ", _HOLDER)
     return F.filter(F.transform(found, lambda s: F.try_element_at(table, plain(s))), lambda x: x.isNotNull())
 
 

@@ -30,16 +30,17 @@ measured AS (
   FROM texts t LEFT JOIN lines l USING (doc_id) LEFT JOIN repeated r USING (doc_id)),
 ratios AS ({_RATIOS}),
 good AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING avg(quality) >= 0.5),
-counted AS (SELECT r.lang, r.rule, c.cutoff, count(*) AS n, count(*) FILTER (WHERE r.ratio >= c.cutoff) AS k FROM ratios r SEMI JOIN good g ON g.doc_id = r.doc_id CROSS JOIN (VALUES {_CUTOFFS}) c(cutoff) WHERE NOT r.base_failed GROUP BY r.lang, r.rule, c.cutoff),
+trials AS (SELECT r.doc_id, min(r.lang) AS lang, r.rule, max(r.ratio) AS ratio FROM ratios r SEMI JOIN good g ON g.doc_id = r.doc_id WHERE NOT r.base_failed GROUP BY r.doc_id, r.rule),
+counted AS (SELECT r.lang, r.rule, c.cutoff, count(*) AS n, count(*) FILTER (WHERE r.ratio >= c.cutoff) AS k FROM trials r CROSS JOIN (VALUES {_CUTOFFS}) c(cutoff) GROUP BY r.lang, r.rule, c.cutoff),
 tests AS (SELECT lang AS stratum, rule, cutoff, n, k FROM counted WHERE lang IS NOT NULL AND n >= {_P.min_stratum} UNION ALL SELECT '*', rule, cutoff, sum(n)::BIGINT, sum(k)::BIGINT FROM counted GROUP BY rule, cutoff),
 tails AS (SELECT *, CASE WHEN k >= n THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({_SHARE!r}) + (n - i) * ln(1 - {_SHARE!r})))) END AS p, count(*) OVER () AS hypotheses FROM tests),
 cutoffs AS (SELECT stratum, rule, min(cutoff) AS cutoff FROM tails WHERE p <= {_P.delta!r} / hypotheses GROUP BY stratum, rule),
-strata AS (SELECT DISTINCT stratum FROM tests),
+strata AS (SELECT DISTINCT stratum FROM tails WHERE stratum = '*' OR pow(1 - {_SHARE!r}, n) <= {_P.delta!r} / hypotheses),
 rejected AS (SELECT DISTINCT r.doc_id FROM ratios r LEFT JOIN strata s ON s.stratum = r.lang JOIN cutoffs c ON c.rule = r.rule AND c.stratum = coalesce(s.stratum, '*') WHERE r.ratio >= c.cutoff)
 SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND x.doc_id IS NULL AS kept FROM measured m LEFT JOIN rejected x ON x.doc_id = m.doc_id
 """
 
-_KNOWN = "CASE " + " ".join(f"WHEN s = '{text}' THEN '{name}'" for name, text in license_scan.SENTENCES.items()) + " END"
+_KNOWN = "CASE " + " ".join(f"WHEN s = '{text}' THEN '{name}'" for text, name in license_scan._KNOWN.items()) + " END"
 _NAMES = list(dict.fromkeys(name for name, _ in license_scan.RULES))
 
 
@@ -47,10 +48,14 @@ def _fits(name: str) -> str:
     return " OR ".join("regexp_matches(line, '," + ",(?:[A-Z0-9_]+,)*".join(ids) + ",')" for n, ids in license_scan.RULES if n == name)
 
 
+_NORMAL = "trim(regexp_replace(regexp_replace(regexp_replace(lower(x), '[^a-z0-9.]+', ' ', 'g'), '\\.+( |$)', ' ', 'g'), ' +', ' ', 'g'))"
+_PLAIN = "regexp_replace(trim(regexp_replace(r, '\\|+', ' ', 'g')), '^neither the name of .*? nor ', 'neither the name of the copyright holder nor ')"
+
+# A piece ends where . ! ? ; : is followed by white space; the mark chr(1) stands there.
 OP3 = f"""
-WITH sentences AS (SELECT doc_id, list_transform(string_split(regexp_replace(coalesce(text, ''), '([.!?;:])\\s+', '\\1' || chr(10), 'g'), chr(10)),
-    lambda x: trim(regexp_replace(trim(regexp_replace(regexp_replace(lower(x), '[^a-z0-9.]+', ' ', 'g'), '\\.+( |$)', ' ', 'g')), ' +', ' ', 'g'))) AS all_ FROM documents),
-found AS (SELECT doc_id, list_filter(list_transform(all_, lambda s: {_KNOWN}), lambda x: x IS NOT NULL) AS ids FROM sentences),
+WITH pieces AS (SELECT doc_id, list_filter(string_split(regexp_replace(replace(coalesce(text, ''), chr(1), ' '), '([.!?;:])[ \\t\\n\\x0B\\f\\r]+', '\\1' || chr(1), 'g'), chr(1)), lambda x: regexp_matches(lower(x), '{license_scan._HINT}')) AS p FROM documents),
+runs AS (SELECT doc_id, flatten(list_transform(p, lambda y: regexp_extract_all('|' || array_to_string(list_transform(string_split(y, chr(10)), lambda x: {_NORMAL}), '||') || '|', '{license_scan.RUN}'))) AS r_ FROM pieces),
+found AS (SELECT doc_id, list_filter(list_transform(list_transform(r_, lambda r: {_PLAIN}), lambda s: {_KNOWN}), lambda x: x IS NOT NULL) AS ids FROM runs),
 lines AS (SELECT doc_id, ids, ',' || array_to_string(ids, ',') || ',' AS line FROM found),
 hits AS (SELECT doc_id, ids, list_filter([{", ".join(f"CASE WHEN {_fits(n)} THEN '{n}' END" for n in _NAMES)}], lambda x: x IS NOT NULL) AS names FROM lines)
 SELECT doc_id, len(ids)::BIGINT AS n_license_sentences, array_to_string(ids, ',') AS sentence_ids, array_to_string(names, ',') AS licenses, names[1] AS license FROM hits

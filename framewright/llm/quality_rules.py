@@ -1,21 +1,25 @@
 """Quality rules whose cutoffs are chosen under a bound on false rejections (DataFrame functions only).
 
-Each rule is a ratio of counts of one text and rejects what lies at or above its cutoff. Labelled documents of the
-calibration fold are the holdout. For a stratum (language), a rule and a candidate cutoff let n be the good holdout
-documents, k those of them that the rule would reject. The exact upper bound (Clopper-Pearson) on the false rejection
-rate is below ``alpha`` with confidence 1 - d just when P(Binomial(n, alpha) <= k) <= d. With d = delta divided by the
-number of all hypotheses (strata x rules x candidates, Bonferroni) all bounds hold together with confidence
-1 - delta. Each rule gets alpha / number of rules, so a stratum's union of rules stays under alpha. The lowest cutoff
-that passes is used; where none passes, the rule rejects nothing in that stratum.
-
-Strata with fewer than ``min_stratum`` holdout rows, unknown and null languages share the pooled stratum, calibrated
-on the whole holdout. So do strata whose size can't pass any cutoff, even without a false rejection
-(P(Binomial(n, alpha) <= 0) > d), unless ``pool_weak`` is off: then no rule rejects in them. The table of cutoffs has at most (labelled rows / min_stratum + 1) x rules rows; it is measured
-before use and becomes literals of the plan under ``max_literal_rows``, else it is joined.
+Each rule is a ratio of counts of one text and rejects what lies at or above its cutoff. The labelled documents are the
+holdout: no rule learns anything else from them. For a stratum (language), a rule and a candidate cutoff let n be the
+good holdout documents that the base rule keeps, k those of them that the rule would reject. The exact upper bound
+(Clopper-Pearson) on the false rejection rate is below ``alpha`` with confidence 1 - d just when
+P(Binomial(n, alpha) <= k) <= d. With d = delta divided by the number of all hypotheses (strata x rules x candidates,
+Bonferroni) all bounds hold together with confidence 1 - delta. Each rule gets alpha / number of rules, so a stratum's
+union of rules stays under alpha. The lowest cutoff that passes is used; where none passes, the rule rejects nothing in
+that stratum.
+
+Unknown and null languages share the pooled stratum, calibrated on the whole holdout. So do strata with fewer than
+``min_stratum`` holdout documents and those whose size can't pass any cutoff, even without a false rejection
+(P(Binomial(n, alpha) <= 0) > d; about 1,630 documents for four languages). The table of cutoffs has at most
+(labelled rows / min_stratum + 1) x rules rows; it is measured before use and becomes literals of the plan under
+``max_literal_rows``, else it is joined.
 
 Edge cases: a null text has no words (n_words 0, base_failed true); empty texts alike. Repeated rows are judged each
-on its own. Labels without doc_id or quality are ignored, contradicting ones count by majority. Without usable labels
-only the base rule rejects. Ties at a cutoff are rejected.
+on its own; in the holdout rows that share a doc_id are one trial, rejected if any of them is (its language is the least
+of theirs). Labels without doc_id or quality are ignored, contradicting ones count by majority (ties: good). Without
+usable labels only the base rule rejects. Ties at a cutoff are rejected. Very long texts are measured whole. An empty
+table gives an empty result. Further columns are ignored, and kept by ``keep_passing``.
 """
 
 from __future__ import annotations
@@ -35,7 +39,6 @@ class Params:
     delta: float = 0.05
     min_stratum: int = 400
     max_literal_rows: int = 2000
-    pool_weak: bool = True
     candidates: tuple[float, ...] = (0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.8, 1.0)
 
 
@@ -169,42 +172,32 @@ def tail(n: Column, k: Column, p: float) -> Column:
     return F.when((n <= 0) | (k >= n), F.lit(1.0)).otherwise(total)
 
 
-def calibrate(measured: DataFrame, labels: DataFrame, p: Params | None = None) -> DataFrame:
-    """The passing cutoffs (stratum, rule, cutoff) from features(docs, "doc_id", "lang") and labels."""
-    p = p or Params()
-    holdout = (
+def trials(measured: DataFrame, labels: DataFrame) -> DataFrame:
+    """Per good holdout document that the base rule keeps: doc_id, lang and the greatest ratio of each rule."""
+    good = (
         labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
         .groupBy("doc_id").agg((F.avg("quality") >= 0.5).alias("good"))
         .where("good").select("doc_id")
     )
-    good = measured.where(~base_failed() & F.col("doc_id").isNotNull()).join(holdout, "doc_id")
-    grid = F.explode(
-        F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(float(c)).alias("cutoff"), (ratio(r) >= c).alias("hit")) for r in RULES for c in p.candidates])
-    )
+    return measured.where(~base_failed()).join(good, "doc_id").groupBy("doc_id").agg(F.min("lang").alias("lang"), *[F.max(ratio(r)).alias(r) for r in RULES])
+
+
+def calibrate(tried: DataFrame, p: Params | None = None) -> tuple[DataFrame, DataFrame]:
+    """From ``trials``: the passing cutoffs (stratum, rule, cutoff), and the strata that have cutoffs of their own."""
+    p = p or Params()
+    grid = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(float(c)).alias("cutoff"), (F.col(r) >= c).alias("hit")) for r in RULES for c in p.candidates]))
     counted = (
-        good.select("lang", grid.alias("g")).groupBy("lang", "g.rule", "g.cutoff")
+        tried.select("lang", grid.alias("g")).groupBy("lang", "g.rule", "g.cutoff")
         .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("g.hit")).alias("k"))
     )
     own = counted.where(F.col("lang").isNotNull() & (F.col("n") >= p.min_stratum)).withColumnRenamed("lang", "stratum")
     pooled = counted.groupBy("rule", "cutoff").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).select(F.lit(POOLED).alias("stratum"), "rule", "cutoff", "n", "k")
-    tests = own.unionByName(pooled)
-    hypotheses = tests.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("hypotheses"))
-    judged = tests.join(F.broadcast(hypotheses)).where(tail(F.col("n"), F.col("k"), p.alpha / len(RULES)) <= F.lit(p.delta) / F.col("hypotheses"))  # one row
-    return judged.groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
-
-
-def known_strata(measured: DataFrame, labels: DataFrame, p: Params) -> DataFrame:
-    """The languages that have cutoffs of their own."""
-    good = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).alias("good")).where("good").select("doc_id")
-    own = (
-        measured.where(~base_failed() & F.col("lang").isNotNull()).join(good, "doc_id").groupBy(F.col("lang").alias("stratum"))
-        .agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= p.min_stratum)
-    )
-    if not p.pool_weak:
-        return own.select("stratum")
-    hypotheses = own.agg(((F.count(F.lit(1)) + 1) * len(RULES) * len(set(p.candidates))).alias("hypotheses"))  # as calibrate counts them
-    least = tail(F.col("n"), F.lit(0).cast("long"), p.alpha / len(RULES))
-    return own.join(F.broadcast(hypotheses)).where(least <= F.lit(p.delta) / F.col("hypotheses")).select("stratum")  # one row
+    tests = materialize(own.unionByName(pooled), "quality-tests")
+    level = F.lit(p.delta) / F.lit(max(1, tests.count()))
+    share = p.alpha / len(RULES)
+    passing = tests.where(tail(F.col("n"), F.col("k"), share) <= level).groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
+    able = tests.where((F.col("stratum") != POOLED) & (tail(F.col("n"), F.lit(0).cast("long"), share) <= level)).select("stratum").distinct()
+    return passing.join(able.unionByName(tests.sparkSession.createDataFrame([(POOLED,)], "stratum string")), "stratum", "left_semi"), able
 
 
 def apply_rules(measured: DataFrame, cutoffs: DataFrame, strata: DataFrame, p: Params | None = None) -> DataFrame:
@@ -244,17 +237,13 @@ def judge(docs: DataFrame, labels: DataFrame, p: Params | None = None) -> DataFr
     """Per document: doc_id, lang, the counts, base_failed, rejected_by, kept. The counts are computed once and kept as a narrow table."""
     p = p or Params()
     measured = materialize(features(docs, "doc_id", "lang"), "quality-features")
-    return apply_rules(measured, calibrate(measured, labels, p), known_strata(measured, labels, p), p)
+    return apply_rules(measured, *calibrate(trials(measured, labels), p), p)
 
 
 def keep_passing(docs: DataFrame, labels: DataFrame, p: Params | None = None) -> DataFrame:
-    """The documents that pass, with all their columns. Texts are measured a second time rather than shuffled."""
+    """The documents that pass, with all their columns. Texts are measured a second time rather than shuffled or kept."""
     p = p or Params()
-    measured = materialize(features(docs, "doc_id", "lang"), "quality-features")
-    cutoffs, strata = calibrate(measured, labels, p), known_strata(measured, labels, p)
-    counts = [c for c in features(docs, "doc_id").columns if c != "doc_id"]
+    cutoffs, strata = calibrate(trials(features(docs, "doc_id", "lang"), labels), p)
     packed = docs.columns
-    whole = features(docs.select(F.struct(*packed).alias("__row"), "doc_id", "lang", "text"), "__row", "doc_id", "lang")
-    kept = apply_rules(whole, cutoffs, strata, p).where("kept")
-    assert set(counts) <= set(whole.columns)
-    return kept.select(*[F.col("__row")[c].alias(c) for c in packed])
+    whole = features(docs.select(F.struct(*[F.col(f"`{c}`") for c in packed]).alias("__row"), "lang", "text"), "__row", "lang")
+    return apply_rules(whole, cutoffs, strata, p).where("kept").select(*[F.col("__row")[c].alias(c) for c in packed])

@@ -24,8 +24,7 @@ def vocabulary(name: str) -> str:
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Strata too small for any cutoff of their own have none, as the SQL says; the pipeline pools them."""
-    judged = quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), quality_rules.Params(pool_weak=False))
+    judged = quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
@@ -55,7 +54,7 @@ def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     number = F.regexp_extract(url_rules.path_of(F.col("url")), r"/(\d{1,18})(?:\.\w+)?/?$", 1)
     named = pages.select("url", F.when(number != "", number).cast("long").alias("doc_id")).where(F.col("doc_id").isNotNull())
-    labels = table(spark, sf_dir, "labels").where("doc_id is not null and quality is not null and toxic is not null")
+    labels = table(spark, sf_dir, "labels").where("doc_id is not null and quality is not null and toxic is not null").select("doc_id", "quality", "toxic")
     labelled = named.join(labels, "doc_id").select("url", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("blocked"))
     return url_rules.judge(pages, labelled, URL_RULES)
 

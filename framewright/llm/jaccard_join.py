@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from .common import discard, join_hot, map_arrow, materialize, release
 
 _C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
-_KNOWN = 400_000
+_KNOWN = 200_000
 
 
 @dataclass(frozen=True)
@@ -400,7 +400,7 @@ def candidate_edges(docs: DataFrame, p: Params) -> DataFrame:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, bands = Shingler(p.words), _bands(p.num, p.den)
-        recent: set[tuple[int, int]] = set()
+        recent: set[int] = set()
         keys: list[np.ndarray] = []
         nodes: list[np.ndarray] = []
         spare: list[np.ndarray] = []
@@ -414,13 +414,13 @@ def candidate_edges(docs: DataFrame, p: Params) -> DataFrame:
                 s = shingler.set_of(text.as_py())
                 if len(s) < bands.least:
                     continue
-                both = node_of(s)
+                node, check = node_of(s)
+                both = node << 64 | check & (1 << 64) - 1
                 if both in recent:  # copies in one task count once
                     continue
                 if len(recent) > _KNOWN:
                     recent.clear()
                 recent.add(both)
-                node = both[0]
                 k, slack = bands.keys(s)
                 keys.append(k.view(np.int64))
                 nodes.append(np.full(len(k), node, np.int64))

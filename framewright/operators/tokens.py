@@ -49,13 +49,23 @@ def tokenize(blocks: DataFrame) -> DataFrame:
     keys = ["image", "by", "bx", "c"]
     counts = predicted(nonzero_grid(blocks)).where("first").select(*keys, "nz", "predicted")
     rows = blocks.join(counts, keys).withColumns({"l2": log2_covered(), "ctx": block_context()})
-    head = rows.select(*keys, F.lit(-1).alias("k"), count_context(F.col("predicted"), F.col("ctx")).alias("context"), F.col("nz").alias("number"))
-    cells = rows.where("nz > 0").select(*keys, "side", "nz", "l2", "ctx", F.posexplode("scanned").alias("k", "v")).where(F.col("k") >= F.call_function("shiftleft", F.lit(1), F.col("l2")))
-    order = W.partitionBy(*keys).orderBy("k")
-    before = F.coalesce(F.count_if(F.col("v") != 0).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    head = F.struct(F.lit(-1).alias("k"), count_context(F.col("predicted"), F.col("ctx")).alias("context"), F.col("nz").cast("long").alias("number"))
+    covered = F.call_function("shiftleft", F.lit(1), F.col("l2"))
+    last = F.size("scanned") - 1
+    at = F.filter(F.when(F.col("nz") > 0, F.sequence(covered, last)).otherwise(F.array().cast("array<int>")), lambda k: F.get("scanned", k) != 0)
     first = F.when(F.col("nz") > F.col("side") * F.col("side") / 16, 0).otherwise(1)
-    prev = F.coalesce(F.lag((F.col("v") != 0).cast("int")).over(order), first)
-    cells = cells.withColumns({"left": (F.col("nz") - before).cast("int"), "prev": prev}).where("left > 0")
-    tail = cells.select(*keys, "k", density_context(F.col("left"), F.col("k"), F.col("l2"), F.col("prev"), F.col("ctx")).alias("context"), pack_signed(F.col("v")).alias("number"))
-    every = head.unionByName(tail).withColumn("h", hybrid(F.col("number")))
+
+    def run(end, i):
+        """Tokens up to the i-th non-zero coefficient: what is left is the same for all; only the one after a non-zero has such a neighbour."""
+        begin = F.when(i == 0, covered).otherwise(F.get("at", i - 1) + 1)
+
+        def token(k):
+            prev = F.when(k == covered, first).when(k == begin, 1).otherwise(0)
+            context = density_context((F.col("nz") - i).cast("int"), k, F.col("l2"), prev, F.col("ctx"))
+            return F.struct(k.alias("k"), context.alias("context"), pack_signed(F.get("scanned", k)).cast("long").alias("number"))
+
+        return F.transform(F.sequence(begin, end), token)
+
+    coded = rows.withColumn("at", at).select(*keys, F.explode(F.concat(F.array(head), F.flatten(F.transform("at", run)))).alias("t"))
+    every = coded.select(*keys, "t.*").withColumn("h", hybrid(F.col("number")))
     return every.select("image", F.floor(F.col("by") / 32).alias("gy"), F.floor(F.col("bx") / 32).alias("gx"), "by", "bx", "c", "k", "context", cluster(F.col("context")).alias("cluster"), "h.*")

@@ -394,5 +394,5 @@ def container(codestream: bytes) -> bytes:
 def into_buffer(data: bytes | None, capacity: int) -> tuple[str, int, bytes | None]:
     """Status, bytes needed, and the file if a buffer of ``capacity`` bytes holds it."""
     if data is None:
-        return "INVALID_ARGUMENT", 0, None
-    return ("SUCCESS", len(data), data) if len(data) <= capacity else ("BUFFER_TOO_SMALL", len(data), None)
+        return "invalid-argument", 0, None
+    return ("ok", len(data), data) if len(data) <= capacity else ("buffer-too-small", len(data), None)

@@ -220,13 +220,13 @@ def configs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "WITH" + _CONFIGS + """ SELECT id, CASE WHEN NOT (distance > 0) THEN 'invalid_argument' WHEN width = 0 OR height = 0 OR width % 8 <> 0 OR height % 8 <> 0 OR ac_groups <= 1 THEN 'unsupported_resolution' ELSE 'ok' END AS status FROM grids"""
+    "WITH" + _CONFIGS + """ SELECT id, CASE WHEN NOT (distance > 0) THEN 'invalid-argument' WHEN width = 0 OR height = 0 OR width % 8 <> 0 OR height % 8 <> 0 OR ac_groups <= 1 THEN 'unsupported-resolution' ELSE 'ok' END AS status FROM grids"""
 )
 def validate_config(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Arguments first, then geometry."""
     d, w, h = F.col("distance"), F.col("width"), F.col("height")
     bad = ~(d > 0) | F.isnan(d) | (d == float("inf"))
-    status = F.when(bad, "invalid_argument").when((w == 0) | (h == 0) | (w % 8 != 0) | (h % 8 != 0) | (F.col("ac_groups") <= 1), "unsupported_resolution").otherwise("ok")
+    status = F.when(bad, "invalid-argument").when((w == 0) | (h == 0) | (w % 8 != 0) | (h % 8 != 0) | (F.col("ac_groups") <= 1), "unsupported-resolution").otherwise("ok")
     return configs(spark, sf_dir).select("id", status.alias("status"))
 
 
@@ -237,8 +237,8 @@ def max_output_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return configs(spark, sf_dir).select("id", (n * (3 * 384 + 48) + (F.col("ac_groups") + F.col("dc_groups")) * 2048 + 16384).alias("bytes"))
 
 
-@query("WITH" + _CONFIGS + " SELECT id, CASE WHEN capability + 40 >= 80 THEN 'tensor' WHEN capability + 40 >= 60 THEN 'half' ELSE 'unknown' END AS backend FROM grids")
+@query("WITH" + _CONFIGS + " SELECT id, CASE WHEN capability + 40 >= 80 THEN 'fp16-tensor' WHEN capability + 40 >= 60 THEN 'fp32-simt' ELSE 'unknown' END AS backend FROM grids")
 def backend(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Backend by device capability (ten times major plus minor)."""
     c = F.col("capability") + 40
-    return configs(spark, sf_dir).select("id", F.when(c >= 80, "tensor").when(c >= 60, "half").otherwise("unknown").alias("backend"))
+    return configs(spark, sf_dir).select("id", F.when(c >= 80, "fp16-tensor").when(c >= 60, "fp32-simt").otherwise("unknown").alias("backend"))

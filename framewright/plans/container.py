@@ -108,7 +108,7 @@ def buffered(data, capacity) -> list:
     """status, needed, data: the file if the buffer holds it, else what it would take."""
     fits = F.length(data) <= capacity
     return [
-        F.when(data.isNull(), "INVALID_ARGUMENT").when(fits, "SUCCESS").otherwise("BUFFER_TOO_SMALL").alias("status"),
+        F.when(data.isNull(), "invalid-argument").when(fits, "ok").otherwise("buffer-too-small").alias("status"),
         F.coalesce(F.length(data), F.lit(0)).alias("needed"), F.when(fits, data).alias("data"),
     ]
 

@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import tables
+from ..functions import text
 from ..registry import ORACLES, query, table
 from . import analysis, codec, corpus
 
 #: Least quality that a rung may have, in decibels. Fixed values.
 LEAST_PSNR = {"2160p": 31.4, "1080p": 28.99, "720p": 28.9}
 #: Status and backend texts by code. Fixed values.
-STATUS = ("success", "invalid argument", "unsupported resolution", "buffer too small", "device error", "out of memory", "not implemented", "internal error")
+STATUS = ("ok", "not-implemented", "invalid-argument", "unsupported-resolution", "no-device", "internal-error", "buffer-too-small")
 
 
 def _rung_sql(column: str) -> str:
@@ -96,13 +97,13 @@ def parse_bench_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""SELECT p_partkey AS id, p_size % 10 AS code, CASE {" ".join(f"WHEN p_size % 10 = {i} THEN '{s}'" for i, s in enumerate(STATUS))} ELSE 'unknown' END AS status FROM part"""
+    f"""SELECT p_partkey AS id, p_size % 10 AS code, CASE {" ".join(f"WHEN p_size % 10 = {i} THEN '{s}'" for i, s in enumerate(STATUS))} ELSE 'internal-error' END AS status FROM part"""
 )
 def status_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts of status codes; an unknown code has one too."""
+    """Texts of status codes; an unknown code is an internal error."""
     names = F.create_map(*[F.lit(x) for kv in enumerate(STATUS) for x in kv])
     rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") % 10).cast("int").alias("code"))
-    return rows.select("id", "code", F.coalesce(F.try_element_at(names, F.col("code")), F.lit("unknown")).alias("status"))
+    return rows.select("id", "code", F.coalesce(F.try_element_at(names, F.col("code")), F.lit("internal-error")).alias("status"))
 
 
 @query(
@@ -181,6 +182,32 @@ def slot_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sums.select("id", F.size("s").cast("long").alias("n"), F.array_min("s").alias("first"), F.array_max("s").alias("last"), checksum.alias("checksum"))
 
 
+def scattered(firsts: DataFrame, width: Column) -> DataFrame:
+    """image, block, values (64) of each 8x8 position from first blocks (image, side, bx, by, coeff): a block's coefficients in the places of the blocks it covers."""
+    m = F.floor(F.col("side") / 8)
+    parts = firsts.select("image", "bx", "by", m.alias("m"), width.alias("w"), F.posexplode(F.transform(F.sequence(F.lit(0), m * m - 1), lambda q: F.slice("coeff", (q * 64 + 1).cast("int"), F.lit(64)))).alias("q", "values"))
+    return parts.select("image", ((F.col("by") + F.floor(F.col("q") / F.col("m"))) * F.col("w") + F.col("bx") + F.col("q") % F.col("m")).alias("block"), "values")
+
+
+def gathered(plane: DataFrame, firsts: DataFrame, width: Column) -> DataFrame:
+    """The inverse: image, side, bx, by, coeff of first blocks (image, side, bx, by) from the positions' values."""
+    m = F.floor(F.col("side") / 8)
+    wanted = firsts.select("image", "side", "bx", "by", m.alias("m"), width.alias("w"), F.explode(F.sequence(F.lit(0).cast("long"), m * m - 1)).alias("q"))
+    wanted = wanted.withColumn("block", (F.col("by") + F.floor(F.col("q") / F.col("m"))) * F.col("w") + F.col("bx") + F.col("q") % F.col("m"))
+    parts = wanted.join(plane, ["image", "block"]).groupBy("image", "side", "bx", "by").agg(F.array_sort(F.collect_list(F.struct("q", "values"))).alias("p"))  # 16 at most
+    return parts.select("image", "side", "bx", "by", F.flatten(F.col("p.values")).alias("coeff"))
+
+
+@query(
+    "WITH" + analysis._SWEEP + """, s AS (SELECT codec, param_value, round(avg(psnr) - 25, 6) AS change, round(stddev_samp(bpp), 6) AS spread FROM sweep GROUP BY ALL)
+    SELECT codec, param_value, CASE WHEN change IS NULL THEN '-' ELSE concat(CASE WHEN change >= 0 THEN '+' ELSE '' END, format('{:.6f}', change)) END AS change, CASE WHEN spread IS NULL THEN '-' ELSE format('{:.6f}', spread) END AS spread FROM s"""
+)
+def signed_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Report cells: changes with their sign, '-' where there is no number."""
+    s = analysis.sweep(spark, sf_dir).groupBy("codec", "param_value").agg(F.round(F.avg("psnr") - 25, 6).alias("change"), F.round(F.stddev_samp("bpp"), 6).alias("spread"))
+    return s.select("codec", "param_value", text.signed(F.col("change"), 6).alias("change"), F.coalesce(F.format_string("%.6f", "spread"), F.lit("-")).alias("spread"))
+
+
 def slot(side: Column, bx: Column, by: Column, width: Column, raw: Column) -> Column:
     """Place of coefficient ``raw`` of the block at (bx, by) in a plane of ``width`` blocks a row."""
     m, q = F.floor(side / 8), F.floor(raw / 64)

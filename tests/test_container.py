@@ -125,8 +125,8 @@ def test_hybrid_kinds():
 
 def test_container_and_buffer():
     assert codestream.container(b"abc")[32:] == (11).to_bytes(4, "big") + b"jxlcabc"
-    assert codestream.into_buffer(b"abc", 3) == ("SUCCESS", 3, b"abc") and codestream.into_buffer(b"abc", 2) == ("BUFFER_TOO_SMALL", 3, None)
-    assert codestream.into_buffer(None, 2)[0] == "INVALID_ARGUMENT"
+    assert codestream.into_buffer(b"abc", 3) == ("ok", 3, b"abc") and codestream.into_buffer(b"abc", 2) == ("buffer-too-small", 3, None)
+    assert codestream.into_buffer(None, 2)[0] == "invalid-argument"
 
 
 def test_gradient_plane():

@@ -213,3 +213,17 @@ def test_slots(spark):
     each = rows.withColumn("r", F.explode(F.sequence(F.lit(0), F.col("side") * F.col("side") - 1)))
     slots = [r.s for r in each.select(checks.slot(F.col("side"), F.col("bx"), F.col("by"), F.lit(8), F.col("r")).alias("s")).collect()]
     assert sorted(slots) == list(range(8 * 4 * 64))
+
+
+def test_scatter_and_gather(spark):
+    """Coefficients scattered over a plane come back, each in the place that slot names."""
+    from pyspark.sql import functions as F
+
+    layout = [(16, 0, 0), (8, 2, 0), (8, 3, 0), (8, 2, 1), (8, 3, 1), (32, 4, 0), (16, 0, 2), (16, 2, 2)]
+    rows = spark.createDataFrame([("i", n, x, y, [float(n * 10_000 + x * 1000 + y * 100_000 + k) for k in range(n * n)]) for n, x, y in layout], "image string, side int, bx int, by int, coeff array<double>")
+    plane = checks.scattered(rows, F.lit(8))
+    held = {(r.block * 64 + i): v for r in plane.collect() for i, v in enumerate(r["values"])}
+    each = rows.select("side", "bx", "by", F.posexplode("coeff").alias("r", "v")).select(checks.slot(F.col("side"), F.col("bx"), F.col("by"), F.lit(8), F.col("r")).alias("s"), "v")
+    assert held == {r.s: r.v for r in each.collect()}
+    back = checks.gathered(plane, rows.drop("coeff"), F.lit(8))
+    assert back.exceptAll(rows.select(*back.columns)).count() == rows.count() - back.count() == 0

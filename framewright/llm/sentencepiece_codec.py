@@ -14,8 +14,8 @@ are encoded whole. Characters without a piece are bytes (<0xNN>), or the unknown
 Models with a normalisation table, other space rules than those of ``Codec.__init__``, or other than merge type are
 refused with ValueError.
 
-Edge cases: null and empty texts have no ids and decode to "". Very long texts are encoded chunk by chunk. Repeated
-rows give repeated results.
+Edge cases: null and empty texts have no ids and decode to "". Very long texts are encoded chunk by chunk. Ties of score
+go to the leftmost pair. Repeated rows give repeated results, an empty table an empty one. Further columns are ignored.
 """
 
 from __future__ import annotations

@@ -16,7 +16,8 @@ comes first. Repeated keys are allowed and lie side by side. A value is the ids
 Writing: texts are dealt by range of (doc_id, hash of the text), so no single key makes a partition too large, sorted
 within, encoded and streamed to one shard per partition in the shared folder, under a temporary name that is renamed
 once complete; a task that runs again leaves the same shard. Only a row of counts per shard reaches the driver.
-Reading: a shard is found by its number, a document by Bloom filter, binary search in the index and one block.
+Reading: a document's shards are found by their key ranges, the document by Bloom filter, binary search in the index
+(both read once per open shard) and one block.
 
 Edge cases: null and empty texts are stored with their end id alone. An empty table gives no shard. A text larger
 than a block has a block of its own. Further columns are ignored.
@@ -30,11 +31,11 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_arrow, shared_path, texts_of
@@ -153,7 +154,7 @@ class Reader:
         self._index = (at, n)
         self._bloom = (bloom_at, (self.bits + 7) // 8)
 
-    @property
+    @cached_property
     def blocks(self) -> list[tuple[bytes, int, int, int, int]]:
         """First key, offset, stored bytes, entries, ids of each block."""
         data, at, out = zlib.decompress(self.file.read_at(self._index[1], self._index[0])), 0, []
@@ -181,8 +182,12 @@ class Reader:
         for _, offset, stored, _, _ in self.blocks:
             yield from self._block(offset, stored)
 
+    @cached_property
+    def bloom(self) -> bytes:
+        return self.file.read_at(self._bloom[1], self._bloom[0])
+
     def may_hold(self, key: bytes) -> bool:
-        bloom = self.file.read_at(self._bloom[1], self._bloom[0])
+        bloom = self.bloom
         return all(bloom[h >> 3] >> (h & 7) & 1 for h in _hashes(key, self.k, self.bits))
 
     def get(self, doc_id: int | None) -> list[np.ndarray]:
@@ -191,9 +196,8 @@ class Reader:
         if not self.may_hold(key):
             return []
         blocks = self.blocks
-        firsts = [b[0] for b in blocks]
         out = []
-        for b in blocks[max(0, bisect.bisect_left(firsts, key) - 1) : bisect.bisect_right(firsts, key)]:
+        for b in blocks[max(0, bisect.bisect_left(blocks, key, key=lambda b: b[0]) - 1) : bisect.bisect_right(blocks, key, key=lambda b: b[0])]:
             out += [self.values(v) for k, v in self._block(b[1], b[2]) if k == key]
         return out
 
@@ -299,7 +303,7 @@ def encoder(path: str) -> Encoder:
 
 
 def write(docs: DataFrame, path: str, to: str, end_id: int | None = 2) -> DataFrame:
-    """Write shards under the URI ``to``; a table of them: shard, file, first (ids before it), n_docs, n_ids."""
+    """Write shards under the URI ``to``; a table of them: shard, file, first (ids before it), n_docs, n_ids, low and high (least and greatest doc_id; null is the least)."""
     spark = docs.sparkSession
     kind = dict(docs.dtypes)["doc_id"]
     if kind not in ("bigint", "int", "smallint", "tinyint"):
@@ -331,17 +335,20 @@ def write(docs: DataFrame, path: str, to: str, end_id: int | None = 2) -> DataFr
             sink.close()
             fs.move(draft, f"{root}/{name}")
             yield pa.RecordBatch.from_arrays(
-                [pa.array([task.partitionId()], pa.int64()), pa.array([f"{to}/{name}"], pa.string()), pa.array([writer.entries], pa.int64()), pa.array([writer.ids], pa.int64())],
-                names=["shard", "file", "n_docs", "n_ids"],
-            )
+                [
+                    pa.array([task.partitionId()], pa.int64()), pa.array([f"{to}/{name}"], pa.string()), pa.array([writer.entries], pa.int64()), pa.array([writer.ids], pa.int64()),
+                    pa.array([id_of(writer.keys[0])], pa.int64()), pa.array([id_of(writer.keys[-1])], pa.int64()),
+                ],
+                names=["shard", "file", "n_docs", "n_ids", "low", "high"],
+            )
 
     placed = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(F.col("doc_id"), F.xxhash64("text"))
-    rows = map_arrow(placed.sortWithinPartitions(F.col("doc_id"), F.xxhash64("text")), run, "shard long, file string, n_docs long, n_ids long").collect()
+    rows = map_arrow(placed.sortWithinPartitions(F.col("doc_id"), F.xxhash64("text")), run, "shard long, file string, n_docs long, n_ids long, low long, high long").collect()
     first, out = 0, []
     for r in sorted(rows, key=lambda r: r.shard):
-        out.append((r.shard, r.file, first, r.n_docs, r.n_ids))
+        out.append((r.shard, r.file, first, r.n_docs, r.n_ids, r.low, r.high))
         first += r.n_ids
-    return spark.createDataFrame(out, "shard long, file string, first long, n_docs long, n_ids long").repartition(max(1, len(out)))
+    return spark.createDataFrame(out, "shard long, file string, first long, n_docs long, n_ids long, low long, high long").repartition(max(1, len(out)))
 
 
 def read(shards: DataFrame) -> DataFrame:
@@ -371,9 +378,11 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def lookup(spark: SparkSession, shards: DataFrame, doc_ids: list[int]) -> dict[int, list[np.ndarray]]:
-    """The ids of a few documents, by binary search; every shard whose Bloom filter lets the key pass is read."""
+    """The ids of a few documents: only shards whose key range holds one of them are opened."""
     out: dict[int, list[np.ndarray]] = {d: [] for d in doc_ids}
-    for r in shards.orderBy("shard").toLocalIterator():
+    inside = lambda d: F.col("low").isNull() if d is None else (F.col("low").isNull() | (F.col("low") <= d)) & (F.col("high") >= d)
+    wanted = reduce(Column.__or__, map(inside, doc_ids), F.lit(False))
+    for r in shards.where(wanted).orderBy("shard").toLocalIterator():
         reader = Reader(r.file)
         for d in doc_ids:
             out[d] += reader.get(d)

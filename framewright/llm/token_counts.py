@@ -12,7 +12,9 @@ into pre-tokens whole. A .model file is counted by ``sentencepiece_codec``.
 
 Refused with ValueError: other models than BPE over a byte alphabet, and added tokens with side conditions.
 
-Edge cases: null and empty texts count 0 bytes and 0 tokens. Repeated rows give repeated results.
+Edge cases: null and empty texts count 0 bytes and 0 tokens. Very long texts are counted chunk by chunk, or as one text
+where the tokenizer keeps white space. Repeated rows give repeated results, an empty table an empty one; ties of rank can't
+arise. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -46,6 +48,7 @@ class Counter:
             raise ValueError("added tokens with side conditions are not supported")
         names = sorted((a["content"] for a in added), key=lambda a: (-len(a), a))
         self.special = re.compile("|".join(map(re.escape, names))) if names else None
+        self.starts = sorted({a[0] for a in names})  # one character at least of a special string
         tok = Tokenizer.from_file(path)
         self.normalizer, self.splitter = tok.normalizer, tok.pre_tokenizer
         vocab, end = model["vocab"], model.get("end_of_word_suffix") or ""
@@ -142,7 +145,7 @@ class Counter:
         split, extra = [], []
         for t in texts:
             n = 0
-            if self.special and "<" in t:
+            if self.special and any(c in t for c in self.starts):
                 n = len(self.special.findall(t))
                 parts = self.special.split(t) if n else [t]
             else:

@@ -4,6 +4,12 @@ Stage by stage: documents that the quality classifier scores under its threshold
 rules go; of each class of near duplicates (n-gram Jaccard) the one with the smallest doc_id stays; documents that hold
 a benchmark item go; what is left is encoded and decoded by SentencePiece. The training tables (labels, benchmark) are
 read from sf_dir. The first four stages return the columns of documents.
+
+Edge cases, in any stage: null and empty texts are documents without words, which the quality rules drop; rows with a
+null or a repeated doc_id are judged each by its own text, and of rows alike in text one stays; ties go to the smaller
+doc_id; very long texts are judged whole; an empty table gives an empty result; further columns are carried through to
+the last stage, which returns its own. Without labels no document is rejected by the classifier or by learned rules,
+without a benchmark none as contaminated.
 """
 
 from __future__ import annotations

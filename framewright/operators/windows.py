@@ -72,9 +72,19 @@ def move_to_front(df: DataFrame, by: list[str], order: str, symbol: str, kinds:
     return seen.withColumn("__places", places).select(*df.columns, F.size(F.filter("__places", lambda p: p > own)).alias("code"))
 
 
-def streaks(df: DataFrame, by: list[str], order: list[str], bad: Column) -> DataFrame:
-    """streak: number of a bad row within its run of consecutive bad rows; 0 for good rows."""
-    w = W.partitionBy(*by).orderBy(*order)
-    marked = df.withColumn("__bad", bad).withColumn("__run", F.count_if(~F.col("__bad")).over(w))
-    run = W.partitionBy(*by, "__run").orderBy(*order)
-    return marked.withColumn("streak", F.count_if(F.col("__bad")).over(run)).drop("__bad", "__run")
+def streaks(df: DataFrame, by: list[str], order: list[str], bad: Column, chunk: Column) -> DataFrame:
+    """streak: number of a bad row within its run of consecutive bad rows; 0 for good rows. Chunks must follow the order.
+
+    A chunk that begins with bad rows goes on counting from the bad rows that ended the one before, and from those of
+    earlier chunks as far as all rows between are bad.
+    """
+    rows = df.withColumns({"__bad": bad, "__chunk": chunk})
+    own = [*by, "__chunk"]
+    rows = rows.withColumn("__run", F.count_if(~F.col("__bad")).over(W.partitionBy(*own).orderBy(*order)))
+    rows = rows.withColumn("__n", F.count_if(F.col("__bad")).over(W.partitionBy(*own, "__run").orderBy(*order)))
+    ends = rows.groupBy(*own).agg(F.max("__run").alias("__good"), F.max_by("__n", F.struct(*order)).alias("__tail"))
+    stretch = F.count_if(F.col("__good") > 0).over(W.partitionBy(*by).orderBy("__chunk"))
+    ends = ends.withColumn("__stretch", stretch).withColumn("__held", F.sum("__tail").over(W.partitionBy(*by, "__stretch").orderBy("__chunk")))
+    ends = ends.select(*own, F.coalesce(F.lag("__held").over(W.partitionBy(*by).orderBy("__chunk")), F.lit(0)).alias("__before"))
+    carried = F.when(F.col("__run") == 0, F.col("__before")).otherwise(0)
+    return rows.join(ends, own).withColumn("streak", F.when(F.col("__bad"), F.col("__n") + carried).otherwise(0)).drop("__bad", "__chunk", "__run", "__n", "__before")

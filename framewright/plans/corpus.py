@@ -142,7 +142,7 @@ streak AS (SELECT *, count(*) FILTER (WHERE bad) OVER (PARTITION BY user_id, run
 @query("WITH" + _STREAK + " SELECT event_id, user_id, bad, CASE WHEN bad THEN n ELSE 0 END AS streak, CASE WHEN bad AND n % 3 = 0 THEN 300 ELSE 0 END AS cooldown_s FROM streak")
 def rate_limit_streak(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every third refused attempt in a row adds a cool-down."""
-    rows = streaks(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], F.col("event_type") == "error")
+    rows = streaks(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], F.col("event_type") == "error", F.to_date("ts"))
     bad = F.col("event_type") == "error"
     return rows.select(
         "event_id", "user_id", bad.alias("bad"), F.when(bad, F.col("streak")).otherwise(0).alias("streak"), F.when(bad & (F.col("streak") % 3 == 0), 300).otherwise(0).alias("cooldown_s")
@@ -155,7 +155,7 @@ def rate_limit_streak(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def backoff_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Waiting times of refused attempts: the larger of what the server asks and a doubling delay, at most ten minutes, plus the cool-down."""
-    rows = streaks(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], F.col("event_type") == "error").where("event_type = 'error'")
+    rows = streaks(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], F.col("event_type") == "error", F.to_date("ts")).where("event_type = 'error'")
     attempt = F.col("streak") - 1
     asked = (F.col("event_id") % 50).cast("double")
     delay = F.least(F.greatest(asked, 30.0 * F.pow(F.lit(2.0), F.least(attempt, F.lit(10)))), F.lit(600.0))

@@ -132,3 +132,46 @@ def comparison_table(pairs: list[tuple[dict, dict]]) -> str:
         winner, factor = (own, ratio) if ratio >= 1 else (other, 1 / ratio)
         lines += [f"  -> {other['setting']} vs {own['setting']}: {winner['codec']} faster by {factor:.2f}x", ""]
     return "\n".join(lines).rstrip()
+
+
+# Plots ----------------------------------------------------------------------------------------------------------------
+
+#: Colours of curves in order. Fixed values.
+COLOURS = ("#1b6ca8", "#c8553d", "#3a7d44", "#7b5ea7", "#8a6d1d", "#4a4e69")
+
+
+def curves_svg(rows: list[dict], title: str, x: str = "bpp_mean", y: str = "q_mean", spread: str = "q_std", size: tuple[int, int] = (720, 440)) -> str:
+    """A curve per codec through its means in the order of param_value, with bars of the spread: rows of ``rd_mean_curve`` of one metric."""
+    from xml.sax.saxutils import escape
+
+    w, h = size
+    left, right, top, bottom = 64, w - 20, 36, h - 48
+    lows, highs = [r[y] - r[spread] for r in rows], [r[y] + r[spread] for r in rows]
+    x0, x1 = (min((r[x] for r in rows), default=0.0), max((r[x] for r in rows), default=1.0))
+    y0, y1 = min(lows, default=0.0), max(highs, default=1.0)
+    at = lambda v, a, b, low, high: low + (high - low) * ((v - a) / (b - a) if b > a else 0.5)
+    px = lambda v: f"{at(v, x0, x1, left + 8, right - 8):.1f}"
+    py = lambda v: f"{at(v, y0, y1, bottom - 8, top + 8):.1f}"
+    out = [f'<svg xmlns="http://www.w3.org/2000/svg" width="{w}" height="{h}" font-family="sans-serif" font-size="12"><rect width="{w}" height="{h}" fill="white"/>']
+    out.append(f'<text x="{left}" y="22" font-size="15">{escape(title)}</text><path d="M{left} {top}V{bottom}H{right}" fill="none" stroke="#555"/>')
+    for k in range(5):
+        u, v = x0 + (x1 - x0) * k / 4, y0 + (y1 - y0) * k / 4
+        out.append(f'<text x="{px(u)}" y="{bottom + 18}" text-anchor="middle">{u:.3g}</text><text x="{left - 6}" y="{py(v)}" text-anchor="end">{v:.3g}</text>')
+    out.append(f'<text x="{(left + right) / 2}" y="{h - 10}" text-anchor="middle">{escape(x)}</text>')
+    for i, codec in enumerate(sorted({r["codec"] for r in rows})):
+        own = sorted((r for r in rows if r["codec"] == codec), key=lambda r: r["param_value"])
+        colour = COLOURS[i % len(COLOURS)]
+        out.append(f'<polyline fill="none" stroke="{colour}" stroke-width="2" points="{" ".join(f"{px(r[x])},{py(r[y])}" for r in own)}"/>')
+        out += [f'<path d="M{px(r[x])} {py(r[y] - r[spread])}V{py(r[y] + r[spread])}" stroke="{colour}"/><circle cx="{px(r[x])}" cy="{py(r[y])}" r="3" fill="{colour}"/>' for r in own]
+        out.append(f'<text x="{right - 90}" y="{top + 16 * (i + 1)}" fill="{colour}">{escape(str(codec))}</text>')
+    return "".join(out) + "</svg>"
+
+
+def write_plots(curves: DataFrame, folder: str) -> list[str]:
+    """A drawing per metric of rows (codec, metric, param_value, means and spreads): some dozens of rows each."""
+    by_metric: dict[str, list[dict]] = {}
+    for r in _rows(curves, "metric", "codec", "param_value"):
+        by_metric.setdefault(r["metric"], []).append(r)
+    for metric, rows in by_metric.items():
+        put(curves.sparkSession, f"{folder}/{metric}.svg", curves_svg(rows, metric))
+    return [f"{folder}/{m}.svg" for m in sorted(by_metric)]

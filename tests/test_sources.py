@@ -227,3 +227,21 @@ def test_scatter_and_gather(spark):
     assert held == {r.s: r.v for r in each.collect()}
     back = checks.gathered(plane, rows.drop("coeff"), F.lit(8))
     assert back.exceptAll(rows.select(*back.columns)).count() == rows.count() - back.count() == 0
+
+
+def test_plots(spark, tmp_path):
+    """A drawing per metric is well formed and holds each codec's curve and each point."""
+    import xml.etree.ElementTree as tree
+
+    rows = [(c, m, p, p + k, 0.1, 10 * p + k, 0.5) for k, c in enumerate("A<") for m in ("psnr", "other") for p in (1.0, 2.0, 3.0)]
+    df = spark.createDataFrame(rows, "codec string, metric string, param_value double, bpp_mean double, bpp_std double, q_mean double, q_std double")
+    made = reports.write_plots(df, str(tmp_path))
+    assert [m.rsplit("/", 1)[1] for m in made] == ["other.svg", "psnr.svg"]
+    root = tree.parse(made[0]).getroot()
+    kinds = [e.tag.rsplit("}", 1)[1] for e in root]
+    assert kinds.count("polyline") == 2 and kinds.count("circle") == 6
+    for e in root:
+        if e.tag.endswith("polyline"):
+            points = [tuple(map(float, p.split(","))) for p in e.attrib["points"].split()]
+            assert points == sorted(points) and [y for _, y in points] == sorted((y for _, y in points), reverse=True)
+    tree.fromstring(reports.curves_svg([], "empty"))

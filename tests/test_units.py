@@ -163,8 +163,21 @@ def test_scan_large_equals_scan(spark):
 
 def test_streaks(spark):
     df = spark.createDataFrame([(1, i, bad) for i, bad in enumerate([True, True, False, True, True, True, True])], "u int, i int, bad boolean")
-    got = [r.streak for r in streaks(df, ["u"], ["i"], F.col("bad")).orderBy("i").collect()]
-    assert got == [1, 2, 0, 1, 2, 3, 4]
+    for chunk in (F.lit(0), F.floor(F.col("i") / 2), F.col("i")):
+        got = [r.streak for r in streaks(df, ["u"], ["i"], F.col("bad"), chunk).orderBy("i").collect()]
+        assert got == [1, 2, 0, 1, 2, 3, 4]
+
+
+def test_streaks_over_chunks(spark):
+    """Runs that cover whole chunks, of several keys, against a plain loop."""
+    rng = random.Random(8)
+    rows = [(u, i, rng.random() < p) for u, p in ((1, 0.5), (2, 0.97), (3, 1.0), (4, 0.0)) for i in range(400)]
+    want, last = {}, {}
+    for u, i, bad in rows:
+        want[u, i] = last[u] = last.get(u, 0) + 1 if bad else 0
+    df = spark.createDataFrame(rows, "u int, i int, bad boolean").repartition(3)
+    got = {(r.u, r.i): r.streak for r in streaks(df, ["u"], ["i"], F.col("bad"), F.floor(F.col("i") / 7)).collect()}
+    assert got == want
 
 
 def test_interpolation(spark):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -14,6 +15,7 @@ from pyspark.sql.types import StructType
 
 from ..shipping import ship
 
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that the driver and all executors share (spark.checkpoint.dir).
 
@@ -74,9 +76,27 @@ def let(value: Column, fn: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), fn)[0]
 
 
+def hand_back() -> None:
+    """Give memory that a task no longer needs back to the system: workers stay alive between stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the C library that has it
+        pass
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """mapInArrow with the package at hand; a worker hands its memory back when its task ends."""
     ship(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            hand_back()
+
+    return df.mapInArrow(run, schema)
 
 
 def texts_of(column: pa.Array) -> list[str]:

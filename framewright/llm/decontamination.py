@@ -453,18 +453,18 @@ def _key(items: list[tuple[int | None, bytes]], p: Params) -> tuple:
 def keep_clean(docs: DataFrame, benchmark: DataFrame, p: Params | None = None) -> DataFrame:
     """The documents that hold no item, with all their columns: each row is judged by its own text, in one pass a block."""
     p = p or Params()
-    sc = docs.sparkSession.sparkContext
+    sc, at = docs.sparkSession.sparkContext, docs.columns.index("text")
 
     def kept(frame: DataFrame, items, key: tuple) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index, words = built(items.value, p, key), Words()
             for b in batches:
                 bad = np.zeros(b.num_rows, bool)
-                for first, texts in _slices(b.column(b.num_columns - 1), words):
+                for first, texts in _slices(b.column(at).cast(pa.binary()), words):
                     bad[[first + d for d, *_ in index.search(texts)]] = True
-                yield pa.RecordBatch.from_arrays(b.columns[:-1], names=b.schema.names[:-1]).filter(pa.array(~bad))
+                yield b.filter(pa.array(~bad))
 
-        return map_arrow(frame.select("*", F.col("text").cast("binary").alias("__searched")), run, docs.schema)
+        return map_arrow(frame, run, frame.schema)
 
     for items in blocks_of(benchmark, p):
         docs = kept(docs, sc.broadcast(items), _key(items, p))

@@ -245,18 +245,19 @@ def fit(docs: DataFrame, labels: DataFrame, p: Params | None = None) -> Model:
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None, name: str = "score") -> DataFrame:
-    """The columns ``keep`` (doc_id) and the score. Only the text is read to score."""
+    """The columns ``keep`` (doc_id) and the score. Only the text is read to score, and sent once if it is kept."""
     keep = keep or ["doc_id"]
-    frame = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("__text"))
-    fields = ", ".join(f"`{c}` {t}" for c, t in frame.dtypes[:-1])
+    frame = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, "text"])])
+    at = frame.columns.index("text")
+    fields = ", ".join(f"`{c}` {t}" for c, t in frame.dtypes[: len(keep)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for b in batches:
             for lo in range(0, b.num_rows, 500):
                 part = b.slice(lo, 500)
-                got = scorer(texts_of(part.column(len(keep))))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(got, pa.float64())], names=[*keep, name])
+                got = scorer(texts_of(part.column(at)))
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(got, pa.float64())], names=[*keep, name])
 
     return map_arrow(frame, run, f"{fields}, `{name}` double")
 

@@ -86,9 +86,17 @@ def hand_back() -> None:
         pass
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Batches to Python of at most 16 MB where the session leaves the size as it comes: both sides hold several of them."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) == "67108864b":
+        spark.conf.set(name, str(16 << 20))
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """mapInArrow with the package at hand; a worker hands its memory back when its task ends."""
     ship(df.sparkSession)
+    bound_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:

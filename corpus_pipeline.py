@@ -14,32 +14,53 @@ without a benchmark none as contaminated.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from framewright.llm import decontamination, jaccard_join, quality_classifier, quality_rules, sentencepiece_codec
-from framewright.llm.common import shared_path, table
+from framewright.llm.common import rest, shared_path, table
 from framewright.llm.queries import vocabulary
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
 #: The pipeline's near duplicates: five words, a similarity of 0.8 or more.
 NEAR = jaccard_join.Params(words=5, num=80, den=100)
 
 
+def rested(stage: Stage) -> Stage:
+    """The stage on executors that have given back what earlier ones left on their heaps: its Python workers need the room."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        rest(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@rested
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_classifier.keep_good(docs, quality_classifier.fit(docs, table(spark, sf_dir, "labels")))
 
 
+@rested
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_passing(docs, table(spark, sf_dir, "labels"))
 
 
+@rested
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return jaccard_join.keep_one(docs, NEAR)
 
 
+@rested
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontamination.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
+@rested
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.round_trip(docs, vocabulary("piece_bpe_32k.model"))
 

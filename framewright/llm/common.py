@@ -54,6 +54,12 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def rest(spark: SparkSession) -> None:
+    """Executors collect their garbage, one short task a core: only a full collection makes a heap that grew give memory back."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).collect()
+
+
 def join_hot(rows: DataFrame, by_key: DataFrame, key: str, count: str, total: int, parts: int = 2000) -> DataFrame:
     """rows joined with by_key (one row per key; the column ``count`` tells how many rows hold it) without a hot task.
 
@@ -87,10 +93,10 @@ def hand_back() -> None:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Batches to Python of at most 16 MB where the session leaves the size as it comes: both sides hold several of them."""
+    """Batches to Python of at most 4 MB where the session leaves the size as it comes: both sides hold several of them."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(name, None) == "67108864b":
-        spark.conf.set(name, str(16 << 20))
+    if spark.conf.get(name, "67108864b") == "67108864b":  # a default of None would hide that of Spark
+        spark.conf.set(name, str(4 << 20))
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:

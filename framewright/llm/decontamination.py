@@ -48,7 +48,7 @@ _CLEAN = bytes(32 if i in _PUNCTUATION else i + 32 if 65 <= i <= 90 else i for i
 _RUN = np.uint64(0x9E3779B97F4A7C15)
 _KNOWN = 200_000
 _TRIES = 300
-_SLICE = 200_000  # words that are searched together, if not one text alone has more
+_SLICE = 50_000  # words that are searched together, if not one text alone has more
 
 
 @dataclass(frozen=True)

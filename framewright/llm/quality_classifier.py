@@ -175,8 +175,8 @@ class Scorer:
         if len(self.number) + len(new) > 200_000:
             self._empty()
             new = list(words)
-        for lo in range(0, len(new), 50_000):
-            part = new[lo : lo + 50_000]
+        for lo in range(0, len(new), 8_000):
+            part = new[lo : lo + 8_000]
             feats, starts, h = word_features(part, self.model.params)
             sizes = np.diff(np.append(starts, len(feats)))
             self.number.update(zip(part, range(len(self.number), len(self.number) + len(part)), strict=True))

@@ -8,7 +8,7 @@ encoding that merging by score (ties: leftmost) gives. Where no piece has two ne
 merge spans them, and the parts on either side are encoded on their own.
 
 No piece has a space mark after another character, so a merge never crosses such a place: texts are cut there and
-each distinct chunk is encoded once (a bounded store of chunks per worker). If a vocabulary has such pieces, texts
+each distinct chunk is encoded once (a bounded store of chunks, emptied when a task ends). If a vocabulary has such pieces, texts
 are encoded whole. Characters without a piece are bytes (<0xNN>), or the unknown piece where the model has no bytes.
 
 Models with a normalisation table, other space rules than those of ``Codec.__init__``, or other than merge type are
@@ -119,6 +119,10 @@ class Codec:
         self.pairs: dict[int, bool] = {}
         self.known: dict[str, tuple[int, ...]] = {}
 
+    def forget(self) -> None:
+        """Empty the store of chunks, by far the largest: a worker outlives its tasks."""
+        self.known.clear()
+
     def merged(self, text: str) -> list[str]:
         """Merging by score, leftmost first among equals: for single pieces and pairs only."""
         parts = list(text)
@@ -288,6 +292,7 @@ def encode(docs: DataFrame, path: str, keep: list[str] | None = None) -> DataFra
             for part in _parts(b):
                 got = pa.array([c.encode(t) for t in texts_of(part.column(len(keep)))], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], got], names=[*keep, "ids"])
+        c.forget()
 
     return map_arrow(frame, run, f"{fields}, ids array<int>")
 
@@ -325,6 +330,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
                 [b.column(0), pa.array(counts, pa.int64()), pa.array(id_sums, pa.string()), pa.array(text_sums, pa.string())],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        c.forget()
 
     return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
